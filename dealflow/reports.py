@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from dealflow.config import DEFAULTS, Thresholds
-from dealflow.operators import automation, coverage, lead_source, trends
+from dealflow.operators import announced, automation, coverage, lead_source, trends
 
 Report = Callable[..., DataFrame]
 
@@ -58,6 +58,15 @@ REPORTS: dict[str, Report] = {
         automation.weekly_digest,
         automation.rep_capability,
         automation.deal_rep_matches,
+        announced.pipeline_by_stage,
+        announced.stuck_deals,
+        announced.won_lost_pct_by_month,
+        announced.won_lost_pct_by_quarter,
+        announced.won_lost_pct_by_year,
+        announced.top_loss_reasons,
+        announced.weekly_deal_creation,
+        announced.mom_creation,
+        announced.commit_accuracy,
     )
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column names and types of the raw deal table.
@@ -57,11 +58,17 @@ DEALS_SCHEMA = T.StructType(
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the columns of ``schema`` from ``df``, cast to its types.
+    """Select the columns of ``schema`` from ``df``, cast where the type differs.
 
     A missing column is an error; further columns are dropped.
     """
-    missing = [f.name for f in schema if f.name not in df.columns]
+    have = {f.name: f.dataType for f in df.schema}
+    missing = [f.name for f in schema if f.name not in have]
     if missing:
         raise ValueError(f"deal table lacks columns: {', '.join(missing)}")
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(
+        *[
+            f.name if have[f.name] == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name)
+            for f in schema
+        ]
+    )

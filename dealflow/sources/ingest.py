@@ -40,12 +40,12 @@ def ingest(raw: DataFrame, date_format: str = ISO_FORMAT, normalize: bool = Fals
     if normalize:
         texts = [f.name for f in RAW_SCHEMA if isinstance(f.dataType, T.StringType)]
         deals = deals.withColumns({c: _normalised(c) for c in texts})
-    return deals.withColumnsRenamed({c: raw_name(c) for c in DATE_COLUMNS}).select(
+    return deals.select(
         *[
-            parse_date(F.col(raw_name(f.name)), date_format).alias(f.name)
+            parse_date(F.col(f.name), date_format).alias(f.name)
             if f.name in DATE_COLUMNS
-            else F.col(f.name)
+            else f.name
             for f in RAW_SCHEMA
         ],
-        *[raw_name(c) for c in DATE_COLUMNS],
+        *[F.col(c).alias(raw_name(c)) for c in DATE_COLUMNS],
     )
