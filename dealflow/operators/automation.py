@@ -72,47 +72,57 @@ def deal_health_scores(
     none = F.lit(cfg.no_benchmark_days)
     long_cycle = F.col("Sales_Cycle_Days") > F.coalesce(F.col("_lost_cycle"), none)
     stuck = F.col("Days_in_Stage") > F.coalesce(F.col("_won_stage_days") * cfg.stuck_factor, none)
-    idle = D.days_idle(as_of) > cfg.long_idle_days
+    from_benchmarks = [
+        _points(F.col("_long_cycle"), cfg.penalty_long_cycle),
+        _points(F.col("_stuck"), cfg.penalty_stuck),
+    ]
+    ranked = (
+        joined.withColumns({"_long_cycle": long_cycle, "_stuck": stuck})
+        .select(
+            "Opportunity_ID",
+            "Opportunity_Name",
+            "Sales_Rep",
+            "Stage",
+            "Deal_Size",
+            "Win_Probability",
+            "Days_in_Stage",
+            "Sales_Cycle_Days",
+            "Is_Stalled",
+            D.days_idle(as_of).alias("days_since_activity"),
+            D.days_to_close(as_of).alias("days_to_expected_close"),
+            _score([*_common_penalties(as_of, cfg), *from_benchmarks]).alias("health_score"),
+            "_long_cycle",
+            "_stuck",
+        )
+        .orderBy("health_score", F.desc("Deal_Size"), "Opportunity_ID")
+    )
 
-    long_cycle_points = _points(long_cycle, cfg.penalty_long_cycle)
-    stuck_points = _points(stuck, cfg.penalty_stuck)
-    score = _score([*_common_penalties(as_of, cfg), long_cycle_points, stuck_points])
+    # Texts are made after the sort, which then moves numbers only.
+    late = F.col("days_to_expected_close") < 0
+    idle = F.col("days_since_activity") > cfg.long_idle_days
     flags = F.concat_ws(
         ", ",
         F.when(X.is_stalled(), L.RISK_STALLED),
-        F.when(D.overdue(as_of), L.RISK_OVERDUE),
-        F.when(long_cycle, L.RISK_LONG_CYCLE),
-        F.when(stuck, L.RISK_STUCK),
+        F.when(late, L.RISK_OVERDUE),
+        F.when(F.col("_long_cycle"), L.RISK_LONG_CYCLE),
+        F.when(F.col("_stuck"), L.RISK_STUCK),
         F.when(idle, L.RISK_IDLE),
         F.when(F.col("Win_Probability") < cfg.low_probability, L.RISK_LOW_PROBABILITY),
     )
     severe = (
         _points(X.is_stalled(), cfg.penalty_stalled)
-        + _points(D.overdue(as_of), cfg.penalty_overdue)
-        + long_cycle_points
+        + _points(late, cfg.penalty_overdue)
+        + _points(F.col("_long_cycle"), cfg.penalty_long_cycle)
     )
-    moderate = stuck_points + _points(idle, cfg.penalty_long_idle)
+    moderate = _points(F.col("_stuck"), cfg.penalty_stuck) + _points(idle, cfg.penalty_long_idle)
     action = (
         F.when(severe >= cfg.intervene_points, L.INTERVENE)
         .when(moderate >= cfg.attention_points, L.ATTENTION)
         .otherwise(L.MONITOR)
     )
-    return joined.select(
-        "Opportunity_ID",
-        "Opportunity_Name",
-        "Sales_Rep",
-        "Stage",
-        "Deal_Size",
-        "Win_Probability",
-        "Days_in_Stage",
-        "Sales_Cycle_Days",
-        "Is_Stalled",
-        D.days_idle(as_of).alias("days_since_activity"),
-        D.days_to_close(as_of).alias("days_to_expected_close"),
-        score.alias("health_score"),
-        flags.alias("risk_flags"),
-        action.alias("action_category"),
-    ).orderBy("health_score", F.desc("Deal_Size"), "Opportunity_ID")
+    return ranked.withColumns({"risk_flags": flags, "action_category": action}).drop(
+        "_long_cycle", "_stuck"
+    )
 
 
 def health_by_rep(
@@ -155,15 +165,35 @@ def priority_queue(
     The rank looks at urgency only; account tier and size count in the score but not in
     the rank. A deal without a size has no score.
     """
-    idle, close = D.days_idle(as_of), D.days_to_close(as_of)
-    due_soon = close.between(0, cfg.due_soon_days)
+    idle, close = F.col("days_since_activity"), F.col("days_to_close")
+    late, due_soon = close < 0, close.between(0, cfg.due_soon_days)
     urgency = (
-        _points(D.overdue(as_of), cfg.priority_overdue)
+        _points(late, cfg.priority_overdue)
         + _points(due_soon, cfg.priority_due_soon)
         + _points(X.is_stalled(), cfg.priority_stalled)
         + _points(idle > cfg.idle_days, cfg.priority_idle)
         + _points(F.col("Forecast_Category") == L.COMMIT, cfg.priority_commit)
     )
+    queue = (
+        deals.where(X.is_open())
+        .select(
+            "Sales_Rep",
+            "Opportunity_ID",
+            "Opportunity_Name",
+            "Stage",
+            "Deal_Size",
+            "Account_Tier",
+            "Days_in_Stage",
+            D.days_idle(as_of).alias("days_since_activity"),
+            D.days_to_close(as_of).alias("days_to_close"),
+            "Is_Stalled",
+            "Forecast_Category",
+        )
+        .withColumn("_urgency", urgency)
+    )
+    order = [F.desc("_urgency"), F.col("Opportunity_ID")]
+    ranked = numbered(queue, ["Sales_Rep"], order, "daily_rank", cfg)
+
     # Whole numbers up to one last division, so that scores are exact.
     unit = cfg.priority_size_unit
     points = F.col("_urgency") + _points(
@@ -173,8 +203,8 @@ def priority_queue(
         X.size().isNotNull(), F.least(X.size(), F.lit(cfg.priority_size_cap * unit))
     )
     step = (
-        F.when(D.overdue(as_of) & X.is_stalled(), L.ESCALATE)
-        .when(D.overdue(as_of), L.URGENT)
+        F.when(late & X.is_stalled(), L.ESCALATE)
+        .when(late, L.URGENT)
         .when(due_soon, L.FINAL_PUSH)
         .when(X.is_stalled() & F.col("Stage").isin(*L.RE_ENGAGE_STAGES), L.RE_ENGAGE)
         .when(X.is_stalled(), L.REVIVE)
@@ -182,30 +212,13 @@ def priority_queue(
         .when(idle > cfg.idle_days, L.CHECK_IN)
         .otherwise(L.ON_TRACK)
     )
-    queue = deals.where(X.is_open()).select(
-        "Sales_Rep",
-        "Opportunity_ID",
-        "Opportunity_Name",
-        "Stage",
-        "Deal_Size",
-        "Account_Tier",
-        "Days_in_Stage",
-        idle.alias("days_since_activity"),
-        close.alias("days_to_close"),
-        "Is_Stalled",
-        "Forecast_Category",
-        urgency.alias("_urgency"),
-        step.alias("suggested_action"),
-    )
-    ranked = numbered(
-        queue, ["Sales_Rep"], [F.desc("_urgency"), F.col("Opportunity_ID")], "daily_rank", cfg
-    )
-    return ranked.select(
-        *[c for c in queue.columns if c not in ("_urgency", "suggested_action")],
+    # The order by rep and rank, in terms that the partitioning already fulfils.
+    return ranked.orderBy("Sales_Rep", *order).select(
+        *[c for c in queue.columns if c != "_urgency"],
         ((points * unit + from_size) / unit).alias("priority_score"),
-        "suggested_action",
+        step.alias("suggested_action"),
         F.col("daily_rank").cast("int").alias("daily_rank"),
-    ).orderBy("Sales_Rep", "daily_rank", "Opportunity_ID")
+    )
 
 
 # --- forecast -------------------------------------------------------------
@@ -225,8 +238,10 @@ def forecast_suggestions(
             )
         )
     )
+    # In the order of the result before rates and texts are added, which then stay put.
+    order = ["Sales_Rep", "Stage", "Opportunity_ID"]
     joined = join_lookup(
-        tiered.where(X.is_open()),
+        tiered.where(X.is_open()).repartitionByRange(*order),
         history,
         ["Stage", "_tier"],
         F.col("Opportunity_ID"),
@@ -265,7 +280,7 @@ def forecast_suggestions(
         "historical_win_rate",
         suggestion.alias("suggested_forecast"),
         flag.alias("forecast_flag"),
-    ).orderBy("Sales_Rep", "Stage", "Opportunity_ID")
+    ).orderBy(*order)
 
 
 # --- alerts and reminders -------------------------------------------------
@@ -350,13 +365,6 @@ def stale_deal_reminders(
     )
     return (
         deals.where(X.is_open() & F.col("Stage").isin(*cfg.stage_limits))
-        .withColumns(
-            {
-                "days_since_activity": D.days_idle(as_of),
-                "stage_threshold": X.by_label(F.col("Stage"), cfg.stage_limits),
-            }
-        )
-        .where(idle > limit)
         .select(
             "Sales_Rep",
             "Opportunity_ID",
@@ -365,18 +373,23 @@ def stale_deal_reminders(
             "Deal_Size",
             "Account_Name",
             F.col("Last_Activity_Date_raw").alias("Last_Activity_Date"),
-            "days_since_activity",
-            "stage_threshold",
-            (idle - limit).alias("days_overdue"),
-            level.alias("reminder_level"),
-            X.by_label(F.col("Stage"), L.OUTREACH, L.OUTREACH_OTHER).alias("suggested_outreach"),
+            D.days_idle(as_of).alias("days_since_activity"),
+            X.by_label(F.col("Stage"), cfg.stage_limits).alias("stage_threshold"),
         )
+        .where(idle > limit)
         .orderBy(
             "Sales_Rep",
-            X.label_order(F.col("reminder_level"), L.REMINDERS),
+            X.label_order(level, L.REMINDERS),
             F.desc("Deal_Size"),
             "Opportunity_ID",
         )
+        .withColumns(
+            {
+                "days_overdue": idle - limit,
+                "reminder_level": level,
+                "suggested_outreach": X.by_label(F.col("Stage"), L.OUTREACH, L.OUTREACH_OTHER),
+            }
+        )
     )
 
 
@@ -463,18 +476,23 @@ def coaching_prompts(
         F.coalesce(F.col("common_loss_reasons"), F.lit(L.UNKNOWN_REASONS)),
         F.lit(". Consider adjusting strategy early."),
     )
-    return joined.select(
-        "Opportunity_ID",
-        "Opportunity_Name",
-        "Sales_Rep",
-        "Stage",
-        "Deal_Size",
-        "Lead_Source",
-        "Industry",
-        "pattern_loss_rate",
-        "common_loss_reasons",
-        prompt.alias("coaching_prompt"),
-    ).orderBy(F.desc("pattern_loss_rate"), F.desc("Deal_Size"), "Opportunity_ID")
+    return (
+        joined.select(
+            "Opportunity_ID",
+            "Opportunity_Name",
+            "Sales_Rep",
+            "Stage",
+            "Deal_Size",
+            "Lead_Source",
+            "Industry",
+            "size_tier",
+            "pattern_loss_rate",
+            "common_loss_reasons",
+        )
+        .orderBy(F.desc("pattern_loss_rate"), F.desc("Deal_Size"), "Opportunity_ID")
+        .withColumn("coaching_prompt", prompt)
+        .drop("size_tier")
+    )
 
 
 # --- weekly digest --------------------------------------------------------
@@ -680,9 +698,14 @@ def deal_rep_matches(
     )
     senior = F.col("Rep_Tenure_Months") >= cfg.senior_months
     largest = F.col("size_tier") == L.ENTERPRISE
-    joined = join_lookup(
-        prospects, profiles, ["Region"], F.col("Opportunity_ID"), cfg
-    ).where(~largest | senior)
+    # Prospects are put into the order of the result before they multiply, so that the
+    # pairs are sorted where they arise. The number of partitions is fixed: sized by the
+    # prospects alone, they would be too few for the pairs.
+    parts = int(deals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = prospects.repartitionByRange(parts, "Opportunity_ID")
+    joined = join_lookup(ordered, profiles, ["Region"], F.col("Opportunity_ID"), cfg).where(
+        ~largest | senior
+    )
     reasons = F.concat_ws(
         "; ",
         F.lit(L.FIT_REGION),

@@ -22,45 +22,51 @@ def numbered(
 ) -> DataFrame:
     """Add ``name``, the position (from 1) of a row among those with equal ``keys``.
 
-    ``order`` should end in a unique column. When every group is small enough for one
-    task, this is a plain window.
+    ``order`` should end in a unique column. Rows are partitioned by range, so that a
+    later sort by ``keys`` and ``order`` needs no further shuffle. While every group is
+    small enough for one task, groups stay whole and a window counts.
     """
-    if largest_group(df, keys) <= cfg.task_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    return _numbered_in_slices(df, keys, order, name)
+    if largest_group(df, keys) > cfg.task_rows:
+        return _numbered_in_slices(df, keys, order, name)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.repartitionByRange(*keys).withColumn(
+        name, F.row_number().over(window).cast("bigint")
+    )
 
 
 def _numbered_in_slices(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
-    """The same through a range partitioning, which cuts large groups into slices.
+    """The same with large groups cut into slices by the range partitioning.
 
-    Rows count from 1 within their slice, and each slice starts after the rows of its
-    group in earlier slices. The slices are stored, as both steps must see the same cuts.
+    Sorted rows get increasing ids. A row's position is its distance from the first row
+    of its group in the slice, plus the rows of the group in earlier slices. The rows are
+    stored in between, as both steps must see the same cuts.
     """
     sliced = settled(
-        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_slice", F.spark_partition_id())
     )
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     earlier = (
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = (
+    # One row per group and slice it touches.
+    runs = (
         sliced.groupBy(*keys, "_slice")
-        .count()
+        .agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
         .select(
             *[F.col(k).alias(f"_{k}") for k in keys],
             F.col("_slice").alias("_of"),
-            F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"),
+            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
-    local = sliced.withColumn("_local", F.row_number().over(within))
     match = reduce(
         lambda a, b: a & b,
-        [local[k].eqNullSafe(starts[f"_{k}"]) for k in keys],
-        local["_slice"] == starts["_of"],
+        [sliced[k].eqNullSafe(runs[f"_{k}"]) for k in keys],
+        sliced["_slice"] == runs["_of"],
     )
-    return local.join(starts, match).select(
-        *[local[c] for c in df.columns], (F.col("_local") + F.col("_before")).alias(name)
+    return sliced.join(runs, match).select(
+        *[sliced[c] for c in df.columns], (F.col("_id") + F.col("_shift") + 1).alias(name)
     )
