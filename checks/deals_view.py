@@ -6,6 +6,7 @@ FIXTURES.md describes it. The report day of all checks is Wednesday, 2001-07-18.
 from __future__ import annotations
 
 import datetime as dt
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,5 +89,7 @@ def deals_raw(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(DEALS_RAW, **tables)
 
 
+@lru_cache(maxsize=8)
 def deals(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed deals. Only the plan is kept per session and folder, no rows."""
     return ingest(deals_raw(spark, folder))

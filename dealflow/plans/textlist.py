@@ -8,11 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.config import Thresholds
-from dealflow.plans.rank import largest_group, numbered
+from dealflow.plans.rank import numbered
 
 PART = "_part"
 
 
+def _items_per_cell(
+    rows: DataFrame, keys: Sequence[str], separator: str, cfg: Thresholds
+) -> int | None:
+    """Items that fit every cell, or None when each group fits one cell anyway."""
+    length = F.coalesce(F.length("_item"), F.lit(0)) + len(separator)
+    groups = rows.groupBy(*keys).agg(
+        F.count("*").alias("items"), F.sum(length).alias("chars"), F.max(length).alias("longest")
+    )
+    items, chars, longest = groups.agg(F.max("items"), F.max("chars"), F.max("longest")).first()
+    if items is None or (items <= cfg.list_items and chars <= cfg.list_chars):
+        return None
+    return max(1, min(cfg.list_items, cfg.list_chars // longest))
+
+
 def listed(
     df: DataFrame,
     keys: Sequence[str],
@@ -25,24 +39,27 @@ def listed(
     """Group by ``keys`` with ``measures`` and the joined ``item`` texts as ``name``.
 
     Items come by Deal_Size descending, then by text; duplicates stay, NULL items are
-    skipped. A group with more than ``cfg.list_items`` rows does not fit one cell: its
-    list goes on in further rows with the same keys and NULL measures, so that nothing
-    is cut off and sums over the report stay right. ``_part`` numbers the rows of a
-    group from 0 and is for sorting.
+    skipped. A group beyond ``cfg.list_items`` rows or ``cfg.list_chars`` characters does
+    not fit one cell: its list goes on in further rows with the same keys and NULL
+    measures, so that nothing is cut off and sums over the report stay right. ``_part``
+    numbers the rows of a group from 0 and is for sorting.
     """
     rows = df.withColumn("_item", item)
-    if largest_group(rows, keys) <= cfg.list_items:
+    per_cell = _items_per_cell(rows, keys, separator, cfg)
+    if per_cell is None:
         cell = F.expr(
             f"listagg(_item, '{separator}') WITHIN GROUP (ORDER BY Deal_Size DESC, _item)"
         )
-        return rows.groupBy(*keys).agg(
-            *[m.alias(n) for n, m in measures.items()], cell.alias(name)
-        ).withColumn(PART, F.lit(0).cast("bigint"))
+        return (
+            rows.groupBy(*keys)
+            .agg(*[m.alias(n) for n, m in measures.items()], cell.alias(name))
+            .withColumn(PART, F.lit(0).cast("bigint"))
+        )
 
-    order = [F.desc_nulls_last("Deal_Size"), F.col("_item"), F.col("Opportunity_ID")]
+    order = [F.desc("Deal_Size"), F.col("_item"), F.col("Opportunity_ID")]
     placed = numbered(
         rows.select(*keys, "Deal_Size", "_item", "Opportunity_ID"), keys, order, "_pos", cfg
-    ).withColumn(PART, F.floor((F.col("_pos") - 1) / cfg.list_items))
+    ).withColumn(PART, F.floor((F.col("_pos") - 1) / per_cell))
     cell = F.expr(f"listagg(_item, '{separator}') WITHIN GROUP (ORDER BY _pos)")
     parts = placed.groupBy(*keys, PART).agg(cell.alias(name))
     totals = (

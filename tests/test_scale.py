@@ -90,6 +90,16 @@ def test_long_lists_go_on_in_further_rows(skewed, report):
     }
 
 
+def test_long_texts_go_on_in_further_rows(make):
+    deals = make(*[{"Opportunity_Name": c * 30, "Deal_Size": 1} for c in "cab"])
+    cfg = dataclasses.replace(DEFAULTS, list_chars=70)
+    result = listed(
+        deals, ["Region"], {"n": F.count("*")}, "l", F.col("Opportunity_Name"), ", ", cfg
+    )
+    got = [(r.n, r.l) for r in result.orderBy(PART).collect()]
+    assert got == [(3, f"{'a' * 30}, {'b' * 30}"), (None, "c" * 30)]
+
+
 def test_list_of_nulls_stays_null_in_both_ways(make):
     deals = make(*[{"Opportunity_Name": None}] * 3)
     for cfg in (DEFAULTS, dataclasses.replace(DEFAULTS, list_items=2)):

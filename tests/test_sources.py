@@ -10,6 +10,7 @@ from conftest import DAY, TESTDATA, rows
 from pyspark.sql import types as T
 
 from checks.deals_view import deals, deals_raw
+from dealflow.__main__ import main
 from dealflow.operators import coverage as P
 from dealflow.schema import DEALS_SCHEMA, RAW_SCHEMA
 from dealflow.sources import ingest, read_deals, read_raw, write_deals, write_report
@@ -128,3 +129,18 @@ def test_reports_are_written(spark, stored, tmp_path):
     )
     write_report(report, str(tmp_path / "c"), "csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == report.count()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    raw, typed, out = (str(tmp_path / n) for n in ("raw", "typed", "out"))
+    deals_raw(spark, FOLDER).write.parquet(raw)
+    main(["ingest", "--raw", raw, "--deals", typed])
+    main(["report", "coverage_health", "week_closed", "--deals", typed, "--as-of", "2001-07-18",
+          "--out", out])
+    expected = P.coverage_health(read_deals(spark, typed), DAY).count()
+    assert spark.read.parquet(f"{out}/coverage_health").count() == expected
+    assert spark.read.parquet(f"{out}/week_closed").count() > 0
+    main(["report", "coverage_by_region", "--deals", typed, "--as-of", "2001-07-18"])
+    assert "region_coverage_ratio" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["report", "nothing", "--deals", typed])
