@@ -44,10 +44,11 @@ def _total_if(condition: str, value: str = "Deal_Size") -> str:
 
 
 def _round(n: str, d: str, digits: int, factor: int = 1) -> str:
-    """factor * n / d, rounded half up, for n >= 0."""
+    """factor * n / d for d >= 0, rounded half away from zero."""
     scale = 10**digits
-    n2, d1 = f"(CAST({n} AS HUGEINT) * {2 * factor * scale})", f"CAST({d} AS HUGEINT)"
-    return f"(CASE WHEN {d1} <> 0 THEN CAST(({n2} + {d1}) // (2 * {d1}) AS DOUBLE) / {scale} END)"
+    top, low = f"CAST({n} AS HUGEINT)", f"CAST({d} AS HUGEINT)"
+    rounded = f"((abs({top}) * {2 * factor * scale} + {low}) // (2 * {low}))"
+    return f"(CASE WHEN {low} <> 0 THEN CAST(sign({top}) * {rounded} AS DOUBLE) / {scale} END)"
 
 
 def _pct(n: str, d: str, digits: int = 1) -> str:
@@ -635,18 +636,18 @@ FROM rates ORDER BY accuracy_pct DESC, Sales_Rep""",
 _DATES = ("Created_Date", "Last_Activity_Date", "Expected_Close_Date", "Close_Date")
 
 
-def _deals() -> str:
+def _deals(raw: str) -> str:
     typed = ", ".join(f"CAST(try_strptime({c}, '%Y-%m-%d') AS DATE) AS {c}" for c in _DATES)
     texts = ", ".join(f"{c} AS {c}_raw" for c in _DATES)
     return (
-        f"WITH deals_raw AS (\n{duckdb_text()}\n),\n"
+        f"WITH deals_raw AS (\n{raw}\n),\n"
         f"deals AS (SELECT * REPLACE ({typed}), {texts} FROM deals_raw)"
     )
 
 
-def all_sql() -> dict[str, str]:
-    """The complete statement for each report."""
-    head = _deals()
+def all_sql(raw: str | None = None) -> dict[str, str]:
+    """The complete statement for each report, over the view or another raw deal query."""
+    head = _deals(raw or duckdb_text())
     return {
         name: f"{head}{body}"
         for part in (TRENDS, COVERAGE, LEAD_SOURCE, AUTOMATION, ANNOUNCED)
