@@ -111,7 +111,7 @@ class Thresholds:
     broadcast_chars: int = 32_000_000
     salts: int = 64
     # Scale: a group up to this many rows is sorted by one task, a larger one is split
-    task_rows: int = 500_000
+    task_rows: int = 2_000_000
     # Scale: items and characters that one list cell may hold before the list goes on in a
     # further row
     list_items: int = 1_000_000

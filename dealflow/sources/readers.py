@@ -52,4 +52,4 @@ def read_raw_jdbc(
 
 def read_deals(spark: SparkSession, path: str) -> DataFrame:
     """Typed deals as ``write_deals`` stores them."""
-    return conform(spark.read.parquet(path), DEALS_SCHEMA)
+    return spark.read.schema(DEALS_SCHEMA).parquet(path).select(*DEALS_SCHEMA.names)

@@ -24,12 +24,9 @@ def skewed(spark):
     """Deals of which one rep and region have most, and some have none."""
     hot = F.pmod(F.xxhash64("Opportunity_ID"), F.lit(10))
     deals = view(spark, str(TESTDATA / "sf0.001"))
-    return deals.withColumns(
-        {
-            "Sales_Rep": F.when(hot < 6, "Rep-7").when(hot == 6, None).otherwise(F.col("Sales_Rep")),
-            "Region": F.when(hot < 6, "ASIA").otherwise(F.col("Region")),
-        }
-    ).cache()
+    rep = F.when(hot < 6, "Rep-7").when(hot == 6, None).otherwise(F.col("Sales_Rep"))
+    region = F.when(hot < 6, "ASIA").otherwise(F.col("Region"))
+    return deals.withColumns({"Sales_Rep": rep, "Region": region}).cache()
 
 
 @pytest.mark.parametrize(
