@@ -112,6 +112,8 @@ class Thresholds:
     salts: int = 64
     # Scale: a group up to this many rows is sorted by one task, a larger one is split
     task_rows: int = 2_000_000
+    # Scale: most partitions that a report asks for by itself
+    max_partitions: int = 100_000
     # Scale: items and characters that one list cell may hold before the list goes on in a
     # further row
     list_items: int = 1_000_000

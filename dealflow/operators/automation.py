@@ -11,7 +11,15 @@ from dealflow import labels as L
 from dealflow.config import DEFAULTS, Thresholds
 from dealflow.functions import dates as D
 from dealflow.functions import exprs as X
-from dealflow.plans import join_lookup, listed, numbered, with_lists
+from dealflow.plans import (
+    join_lookup,
+    join_stored,
+    listed,
+    numbered,
+    pair_partitions,
+    settled,
+    with_lists,
+)
 from dealflow.plans.textlist import PART
 
 REP = ["Sales_Rep", "Region"]
@@ -666,7 +674,7 @@ def deal_rep_matches(
     Deals of the largest tier need a senior rep. All candidates are part of the result,
     so it has as many rows as there are prospects times eligible profiles of the region.
     """
-    profiles = (
+    profiles = settled(
         with_lists(
             deals.where(F.col("Region").isNotNull()),
             PROFILE,
@@ -677,10 +685,8 @@ def deal_rep_matches(
             },
             {"_industries": (F.when(X.is_won(), F.col("Industry")), "")},
             as_arrays=True,
-        )
-        .withColumnRenamed("Sales_Rep", "recommended_rep")
-        .select(
-            "recommended_rep",
+        ).select(
+            F.col("Sales_Rep").alias("recommended_rep"),
             "Region",
             "Rep_Tenure_Months",
             "current_workload",
@@ -699,11 +705,10 @@ def deal_rep_matches(
     senior = F.col("Rep_Tenure_Months") >= cfg.senior_months
     largest = F.col("size_tier") == L.ENTERPRISE
     # Prospects are put into the order of the result before they multiply, so that the
-    # pairs are sorted where they arise. The number of partitions is fixed: sized by the
-    # prospects alone, they would be too few for the pairs.
-    parts = int(deals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # pairs are sorted where they arise, in as many partitions as the pairs need.
+    parts = pair_partitions(prospects, profiles, "Region", cfg)
     ordered = prospects.repartitionByRange(parts, "Opportunity_ID")
-    joined = join_lookup(ordered, profiles, ["Region"], F.col("Opportunity_ID"), cfg).where(
+    joined = join_stored(ordered, profiles, ["Region"], F.col("Opportunity_ID"), cfg).where(
         ~largest | senior
     )
     reasons = F.concat_ws(

@@ -2,8 +2,16 @@
 
 from dealflow.plans.aggregate import with_lists
 from dealflow.plans.checkpoint import settled
-from dealflow.plans.lookup import join_lookup
+from dealflow.plans.lookup import join_lookup, join_stored, pair_partitions
 from dealflow.plans.rank import numbered
 from dealflow.plans.textlist import listed
 
-__all__ = ["join_lookup", "listed", "numbered", "settled", "with_lists"]
+__all__ = [
+    "join_lookup",
+    "join_stored",
+    "listed",
+    "numbered",
+    "pair_partitions",
+    "settled",
+    "with_lists",
+]

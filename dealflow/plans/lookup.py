@@ -34,9 +34,34 @@ def join_lookup(
     are. A larger one is repeated once per salt and joined by key and salt, the salt of
     a deal coming from ``spread_by``; every deal still meets each of its partners once.
     """
-    lookup = settled(lookup)
+    return join_stored(deals, settled(lookup), on, spread_by, cfg, how)
+
+
+def join_stored(
+    deals: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    spread_by: Column,
+    cfg: Thresholds,
+    how: str = "inner",
+) -> DataFrame:
+    """The same for a lookup that is stored already."""
     if fits_broadcast(lookup, cfg):
         return deals.join(F.broadcast(lookup), list(on), how)
     salted = deals.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(cfg.salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def pair_partitions(left: DataFrame, right: DataFrame, key: str, cfg: Thresholds) -> int:
+    """Partitions for all pairs with an equal key: the usual number, or more for many pairs.
+
+    The pairs are counted exactly, from the rows per key on both sides.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("l")).join(
+        right.groupBy(key).agg(F.count("*").alias("r")), key
+    )
+    product = F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")
+    pairs = int(counts.agg(F.sum(product.cast("decimal(38,0)"))).first()[0] or 0)
+    usual = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, min(cfg.max_partitions, -(-pairs // cfg.task_rows)))

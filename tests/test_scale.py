@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks.deals_view import deals as view
 from dealflow.config import DEFAULTS
 from dealflow.operators import automation as A
-from dealflow.plans import join_lookup, listed, numbered
+from dealflow.plans import join_lookup, listed, numbered, pair_partitions
 from dealflow.plans.textlist import PART
 
 SPLIT = dataclasses.replace(DEFAULTS, task_rows=20)
@@ -49,6 +49,16 @@ def test_lookup_limit_on_text(spark):
     assert {r["k"]: r["v"] for r in rows(joined)} == {"a": "x" * 100, "b": None}
 
 
+def test_partitions_follow_the_number_of_pairs(spark):
+    left = spark.createDataFrame([("a",)] * 30 + [("b",)] * 5 + [(None,)], "k string")
+    right = spark.createDataFrame([("a",)] * 10 + [("b",), ("c",), (None,)], "k string")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert pair_partitions(left, right, "k", DEFAULTS) == usual
+    assert pair_partitions(left, right, "k", SPLIT) == 16  # 305 pairs, 20 to a task
+    few = dataclasses.replace(SPLIT, max_partitions=9)
+    assert pair_partitions(left, right, "k", few) == 9
+
+
 def test_split_ranking_equals_window(skewed):
     assert rows(A.priority_queue(skewed, DAY, SPLIT)) == rows(A.priority_queue(skewed, DAY))
 
