@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import language_id, mixing
+from dealflow.llm import language_id, mixing, near_dup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def quality(labels: DataFrame) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    settings = near_dup.Settings(words=2, percent=80)
+    found = near_dup.components(table(spark, folder, "documents"), settings=settings)
+    return found.drop("text_hash")
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.mix(docs, quality(table(spark, folder, "labels")))
@@ -40,6 +46,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
     "op10_language_id": op10_language_id,
 }
