@@ -45,4 +45,22 @@ select doc_id, source, size::bigint as size, s as source_size, target, epochs, p
 from chosen
 """
 
-SQL: dict[str, str] = {"op8_mix_sources": OP8}
+OP1 = """
+with payloads as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), named as (
+  select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+      (('0x' || substr(hex, (5 * (i // 4) + 1)::int, 5))::int // (32 ** (3 - i % 4))::int) % 32 + 1]), '')
+    as payload_digest
+  from payloads
+), firsts as (
+  select payload_digest, min(page_id) as first_id from named group by all
+)
+select page_id, payload_bytes::bigint as payload_bytes, n.payload_digest,
+  case when page_id > first_id then 'revisit' else 'response' end as record_type,
+  case when page_id > first_id then first_id end as refers_to
+from named n join firsts using (payload_digest)
+"""
+
+SQL: dict[str, str] = {"op1_warc": OP1, "op8_mix_sources": OP8}

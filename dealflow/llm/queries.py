@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import language_id, mixing, near_dup
+from dealflow.llm import language_id, mixing, near_dup, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def quality(labels: DataFrame) -> DataFrame:
     )
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.archived(table(spark, folder, "pages"))
+    return warc.read(archives, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     settings = near_dup.Settings(words=2, percent=80)
     found = near_dup.components(table(spark, folder, "documents"), settings=settings)
@@ -46,6 +53,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
     "op10_language_id": op10_language_id,
