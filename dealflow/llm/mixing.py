@@ -17,7 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Settings:
     """Sources in order weigh ``weights``, repeating, and share ``share`` of all words; no
-    source gives more than ``most`` times its words. ``slice_rows`` rows are summed in a task."""
+    source gives more than ``most`` times its words. About ``slice_rows`` rows, or fewer where
+    there are more partitions than such slices, are summed in a task."""
 
     weights: Sequence[int] = (3, 1, 2)
     share: tuple[int, int] = (3, 2)
@@ -106,7 +107,8 @@ def mix(
         rows = rows.withColumn("weight", F.lit(1.0))
     key = -F.log(uniform(F.col("doc_id"), settings.seed)) / F.coalesce("weight", F.lit(1.0))
     drawn = stored(rows.withColumn("key", key).drop("weight"), "drawn")
-    slices = drawn.count() // settings.slice_rows + 1
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(partitions, drawn.count() // settings.slice_rows)
     drawn = drawn.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices))
 
     of = ["no_source", "source"]
