@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import language_id, mixing, near_dup, warc
+from dealflow.llm import fingerprints, language_id, mixing, near_dup, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compared(table(spark, folder, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     settings = near_dup.Settings(words=2, percent=80)
     found = near_dup.components(table(spark, folder, "documents"), settings=settings)
@@ -54,6 +58,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op5_fingerprints": op5_fingerprints,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
     "op10_language_id": op10_language_id,
