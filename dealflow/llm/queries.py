@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import fingerprints, language_id, mixing, near_dup, warc
+from dealflow.llm import fingerprints, language_id, mixing, near_dup, suffix_dedup, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(table(spark, folder, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compared(table(spark, folder, "documents"))
 
@@ -58,6 +63,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_repeated_strings": op3_repeated_strings,
     "op5_fingerprints": op5_fingerprints,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
