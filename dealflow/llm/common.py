@@ -65,17 +65,16 @@ def joined(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -
     """Inner join with ``right``, which has one row per key and, in ``rows``, its rows in ``left``.
 
     Keys with more than ``total / HOT_SHARE`` rows are fewer than HOT_SHARE, so their side is
-    broadcast and the hot rows stay where they are. All other keys are joined by a shuffle, in
+    broadcast, by the driver's list of them, and the hot rows stay where they are. All other keys are joined by a shuffle, in
     which no key has more than that share. ``right`` should be stored, ``left`` cheap to scan.
     """
     limit = total // HOT_SHARE + 1
     hot = right.filter(F.col(rows) > limit)
-    if hot.isEmpty():
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
         return left.join(right, key)
-    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return left.join(F.broadcast(hot), key).unionByName(
-        cold.join(right.filter(F.col(rows) <= limit), key)
-    )
+    cold = left.filter(~F.col(key).isin(keys)).join(right.filter(F.col(rows) <= limit), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -1,8 +1,8 @@
 """Near-duplicates: banded MinHash candidates, sequential Bayesian verification, exact links.
 
 Texts with equal shingle sets form a class. Classes that share a band of their signatures are
-candidates. Within a band's bucket each class is compared with two pivots, so pairs stay linear
-in the bucket: the most central class and one by hash. Signatures are compared batch by batch,
+candidates. Within a band's bucket each class is compared with a pivot, its most central class,
+so pairs stay linear in the bucket. Signatures are compared batch by batch,
 and a pair goes once the posterior probability that it is similar enough falls below a chosen
 miss probability. What is left is verified on full shingle sets and linked. A bucket whose
 classes are then all connected is done, as further links in it change nothing. In any other one,
@@ -67,12 +67,12 @@ def least_matches(settings: Settings) -> list[tuple[int, int]]:
 
 
 def signature(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the least hash per salt; long sets are handled in parts."""
+    """The upper 16 bits of the least hash per salt; long sets are handled in parts."""
     least = np.full(len(salts), np.iinfo(U64).max, U64)
     for at in range(0, len(shingles), 1 << 14):
         part = shingles[at : at + (1 << 14), None]
         np.minimum(least, ((part ^ salts) * (salts | U64(1))).min(0), out=least)
-    return (least >> U64(32)).astype(np.uint32)
+    return (least >> U64(48)).astype(np.uint16)
 
 
 def identity(shingles: np.ndarray) -> bytes:
@@ -106,22 +106,18 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def shingled(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """k and set (packed hashes) of the classes in ``wanted`` (rep, k), read from their texts."""
+    """k and set (packed hashes) of the classes in ``wanted`` (k, rep), read from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
                 texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
-                sets = shingle_sets(texts, settings.words)
-                own = [identity(s) == k for s, k in zip(sets, part.column("k").to_pylist())]
-                out = pa.record_batch(
-                    {"k": part.column("k"), "set": pa.array([s.tobytes() for s in sets], pa.binary())}
-                )
-                yield out.filter(pa.array(own, pa.bool_()))
+                sets = [s.tobytes() for s in shingle_sets(texts, settings.words)]
+                yield pa.record_batch({"k": part.column("k"), "set": pa.array(sets, pa.binary())})
 
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    # An id may stand in several rows; those with the wanted text are equal.
-    return texts.mapInArrow(run, "k binary, set binary").dropDuplicates(["k"])
+    by = ["doc_id", "text_hash"]
+    texts = docs.join(wanted.select("k", "rep.*"), by).dropDuplicates(by)
+    return texts.select("k", "text").mapInArrow(run, "k binary, set binary")
 
 
 def promising(pairs: DataFrame, settings: Settings) -> DataFrame:
@@ -131,7 +127,7 @@ def promising(pairs: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = [
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(
                     batch.num_rows, settings.hashes
                 )
                 for c in ("sig_a", "sig_b")
@@ -202,11 +198,13 @@ def connect(links: DataFrame) -> DataFrame:
     return roots
 
 
-def rest_links(members: DataFrame, roots: DataFrame, sets, settings: Settings) -> DataFrame | None:
+def rest_links(
+    members: DataFrame, roots: DataFrame, sets: DataFrame, settings: Settings
+) -> DataFrame | None:
     """Links in buckets that are not connected yet: the classes outside a bucket's largest
     component against all its classes, in blocks; None if every bucket is connected."""
     placed = members.join(roots, "k", "left").select(
-        "bucket", "k", "rep", F.coalesce("root", "k").alias("root")
+        "bucket", "k", F.coalesce("root", "k").alias("root")
     )
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(
@@ -227,7 +225,6 @@ def rest_links(members: DataFrame, roots: DataFrame, sets, settings: Settings) -
         .withColumn("ask_cells", F.ceil((F.col("rows") - F.col("most")) / block).cast("int")),
         "open-members",
     )
-    texts = stored(sets(inside.select("rep", "k").distinct()), "open-sets")
     cell = lambda n, salt: F.pmod(F.xxhash64("k", "bucket", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = inside.filter("ask").select(
@@ -265,7 +262,7 @@ def rest_links(members: DataFrame, roots: DataFrame, sets, settings: Settings) -
             }
         )
 
-    cells = asked.unionByName(there).join(texts, "k")
+    cells = asked.unionByName(there).join(sets, "k")
     return cells.groupBy("bucket", "row", "cell").applyInArrow(compare, "a binary, b binary")
 
 
@@ -283,49 +280,43 @@ def components(
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     own = stored(sketches(hashed, settings), "sketches")
     useful = own.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(
-        useful.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes"
-    )
-    width = settings.rows * 4
+    first = F.min(F.struct("doc_id", "text_hash")).alias("rep")
+    classes = stored(useful.groupBy("k").agg(first, F.first("sig").alias("sig")), "classes")
+    width = settings.rows * 2
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(settings.bands - 1)),
         lambda b: F.xxhash64(b, F.substring("sig", b * width + 1, F.lit(width))),
     )
-    banded = stored(classes.select("k", F.explode(bands).alias("bucket")), "bands")
+    banded = classes.select("k", F.explode(bands).alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1")
-    members = joined(banded, stored(full, "buckets"), "bucket", "rows", banded.count())
-    members = members.join(classes.select("k", "rep"), "k")
-    weight = members.groupBy("k").agg(F.sum("rows").alias("weight"))
-    members = stored(members.join(weight, "k"), "members")
+    total = classes.count() * settings.bands
+    members = stored(joined(banded, stored(full, "buckets"), "bucket", "rows", total), "members")
+    ids = classes.select("k", "rep")
+    weight = members.groupBy("k").agg(F.sum("rows").alias("weight")).join(ids, "k")
 
     # The most central class of a bucket is in the largest buckets; ties go to the smallest id.
-    central = F.max(F.struct("weight", (-F.col("rep")).alias("id"), "k"))["k"]
-    spread = F.max(F.struct(F.xxhash64("k", "bucket").alias("h"), "k"))["k"]
+    weighed = members.join(stored(weight, "weights"), "k")
+    center = F.max(F.struct("weight", (-F.col("rep.doc_id")).alias("id"), "k"))["k"]
     pivots = stored(
-        members.groupBy("bucket").agg(
-            F.array(central, spread).alias("pivots"), F.count("*").alias("rows")
-        ),
-        "pivots",
+        weighed.groupBy("bucket").agg(center.alias("pivot"), F.count("*").alias("rows")), "pivots"
     )
     stars = joined(members.select("bucket", "k"), pivots, "bucket", "rows", members.count())
-    stars = stars.select("k", F.explode("pivots").alias("p")).filter("k <> p")
-    pairs = stars.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
-    survivors = stored(promising(with_both(pairs, classes, "sig"), settings), "survivors")
-
-    def sets(wanted: DataFrame) -> DataFrame:
-        return shingled(rows, wanted, settings)
+    pairs = stars.filter("k <> pivot").select(
+        F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")
+    )
+    pairs = with_both(pairs.distinct(), classes, "sig")
+    survivors = stored(promising(pairs, settings), "survivors")
 
-    ends = survivors.select(F.col("a").alias("k")).union(survivors.select("b")).distinct()
-    texts = stored(sets(ends.join(classes.select("k", "rep"), "k")), "sets")
-    links = stored(verified(with_both(survivors, texts, "set"), settings.percent), "links")
+    sets = stored(shingled(hashed, members.select("k").distinct().join(ids, "k"), settings), "sets")
+    links = stored(verified(with_both(survivors, sets, "set"), settings.percent), "links")
     roots = connect(links)
-    more = rest_links(members.select("bucket", "k", "rep"), roots, sets, settings)
+    more = rest_links(members.select("bucket", "k"), roots, sets, settings)
     if more is not None:
         roots = connect(links.union(more))
 
     placed = classes.select("k", "rep").join(roots, "k", "left")
     placed = placed.withColumn("root", F.coalesce("root", "k"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = placed.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
     placed = placed.join(least, "root").select("k", "component_id")
     blank = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = own.drop("sig").join(placed, "k", "left")

@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import fingerprints, language_id, mixing, near_dup, suffix_dedup, warc
+from dealflow.llm import (
+    fingerprints,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dup,
+    suffix_dedup,
+    warc,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +36,11 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    short = line_dedup.shortened(table(spark, folder, "documents"))
+    return short.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffix_dedup.without_repeats(table(spark, folder, "documents"))
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -63,6 +76,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_line_dedup": op2_line_dedup,
     "op3_repeated_strings": op3_repeated_strings,
     "op5_fingerprints": op5_fingerprints,
     "op7_near_duplicates": op7_near_duplicates,
