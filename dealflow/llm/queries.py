@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.llm import (
+    decontaminate,
     fingerprints,
     language_id,
     line_dedup,
@@ -61,6 +62,11 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, quality(table(spark, folder, "labels")))
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contaminated(docs, benchmark)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language_id.fit(language_id.training_rows(docs))
@@ -81,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
+    "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
