@@ -20,13 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.llm.common import chunks, columns
-from dealflow.llm.shingles import BYTE, powers
+from dealflow.llm.shingles import words
 
 CHUNK = 2 << 20
-#: Word characters: letters and digits of ASCII, and all bytes of other characters.
-WORD = np.zeros(256, bool)
-for _a, _b in ((48, 58), (97, 123), (128, 256)):
-    WORD[_a:_b] = True
 
 
 @dataclass(frozen=True)
@@ -53,24 +49,6 @@ class Settings:
     seed: int = 11
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, lower-cased and without punctuation, and the words per text."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8).copy()
-    data[(data >= 65) & (data <= 90)] += 32
-    # Capitals of Latin-1 in UTF-8.
-    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
-    data[latin[data[latin] != 0x97]] += 32
-    inside = np.flatnonzero(WORD[data])
-    if not len(inside):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    begins = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1] + 1])
-    starts = inside[begins]
-    within = inside - np.repeat(starts, np.diff(np.r_[begins, len(inside)]))
-    hashes = np.add.reduceat(BYTE[data[inside]] * powers(int(within.max()) + 1)[within], begins)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, np.r_[0, ends]))
-
-
 def term(hashes: np.ndarray, settings: Settings) -> np.ndarray:
     mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (mixed >> np.uint64(33)).astype(np.int64) & (settings.terms - 1)

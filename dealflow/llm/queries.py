@@ -11,9 +11,11 @@ from dealflow.llm import (
     decontaminate,
     fingerprints,
     language_id,
+    license_scan,
     line_dedup,
     mixing,
     near_dup,
+    pii,
     suffix_dedup,
     warc,
 )
@@ -47,10 +49,19 @@ def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compared(table(spark, folder, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    named = pii.surrogated(table(spark, folder, "documents"))
+    return named.select("doc_id", "n_entities", "text")
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     settings = near_dup.Settings(words=2, percent=80)
     found = near_dup.components(table(spark, folder, "documents"), settings=settings)
@@ -84,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
     "op3_repeated_strings": op3_repeated_strings,
+    "op4_license_scan": op4_license_scan,
     "op5_fingerprints": op5_fingerprints,
+    "op6_surrogates": op6_surrogates,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
     "op9_decontaminate": op9_decontaminate,

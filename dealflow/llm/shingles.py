@@ -7,6 +7,10 @@ import numpy as np
 #: Space and the control characters 9 to 13, the ones between words.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Word characters of plain words: letters and digits of ASCII, and all bytes of other characters.
+WORD = np.zeros(256, bool)
+for _first, _end in ((48, 58), (97, 123), (128, 256)):
+    WORD[_first:_end] = True
 _random = np.random.default_rng(2024)
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -68,3 +72,21 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
             total = mixed(total * POWER + own[i : count - size + 1 + i])
         out.append(np.unique(total))
     return out
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, lower-cased and without punctuation, and the words per text."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8).copy()
+    data[(data >= 65) & (data <= 90)] += 32
+    # Capitals of Latin-1 in UTF-8.
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
+    data[latin[data[latin] != 0x97]] += 32
+    inside = np.flatnonzero(WORD[data])
+    if not len(inside):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    begins = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1] + 1])
+    starts = inside[begins]
+    within = inside - np.repeat(starts, np.diff(np.r_[begins, len(inside)]))
+    hashes = np.add.reduceat(BYTE[data[inside]] * powers(int(within.max()) + 1)[within], begins)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(starts, np.r_[0, ends]))
