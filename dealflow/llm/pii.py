@@ -128,6 +128,9 @@ def parts_of(kind: str, match: regex.Match) -> list[Part]:
             Part(at + 1, match.end(), "domain", domain.lower()),
         ]
     if kind == "secret":
+        # After a colon, prose is as likely as a secret; secrets have digits.
+        if "=" not in text[: match.start("value") - start] and not DIGIT(match.group("value")):
+            return []
         return [Part(*match.span("value"), "secret", match.group("value"))]
     if kind == "person":
         gender, at, out = TITLES[match.group("title")], match.start("value"), []
