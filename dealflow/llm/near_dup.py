@@ -67,12 +67,12 @@ def least_matches(settings: Settings) -> list[tuple[int, int]]:
 
 
 def signature(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """The upper 16 bits of the least hash per salt; long sets are handled in parts."""
+    """16 bits of the least hash per salt, spread anew; long sets are handled in parts."""
     least = np.full(len(salts), np.iinfo(U64).max, U64)
     for at in range(0, len(shingles), 1 << 14):
         part = shingles[at : at + (1 << 14), None]
         np.minimum(least, ((part ^ salts) * (salts | U64(1))).min(0), out=least)
-    return (least >> U64(48)).astype(np.uint16)
+    return (mixed(least) >> U64(48)).astype(np.uint16)
 
 
 def identity(shingles: np.ndarray) -> bytes:
