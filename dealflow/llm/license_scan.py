@@ -94,6 +94,8 @@ def found(texts: list[bytes], templates: Templates, settings: Settings):
     inside[ends[(ends > 0) & (ends < len(hashes))] - 1] = False
     low = np.searchsorted(templates.values, pairs, "left")
     hit = np.flatnonzero((templates.values[np.minimum(low, len(templates.values) - 1)] == pairs) & inside)
+    if not len(hit):
+        return []
     n = np.searchsorted(templates.values, pairs[hit], "right") - low[hit]
     at = np.repeat(hit, n)
     template = templates.owners[

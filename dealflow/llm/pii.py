@@ -71,12 +71,13 @@ PATTERNS = {
     "card": regex.compile(r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "ssn": regex.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": regex.compile(
-        r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)"
-        r"|(?<![\w.-])\+\d{8,15}(?!\w)"
+        r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
+        r"|(?:1[ .-])?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
+        r"|(?:1[ .-])?\d{3}(?P<between>[ .-])\d{3}(?P=between)\d{4}"
+        r"|0\d(?:[ .-]\d{2}){4})(?![\w-]|\.\d)"
     ),
     "person": regex.compile(rf"(?<!\p{{L}})(?P<title>{_title})\.? (?P<value>{NAME}(?: {NAME}){{0,2}})"),
 }
-DATE = regex.compile(r"\d{4}[.-]\d{2}[.-]\d{2}|\d{2}[.-]\d{2}[.-]\d{4}")
 #: A text without any of these characters cannot hold the type.
 GUARDS: dict[str, Callable[[str], object]] = {
     "email": lambda t: "@" in t,
@@ -142,7 +143,7 @@ def parts_of(kind: str, match: regex.Match) -> list[Part]:
             at += len(name) + 1
         return out
     digits = regex.sub(r"[^\p{L}\d]", "", text)
-    if kind == "phone" and (not 8 <= len(digits) <= 15 or DATE.fullmatch(text)):
+    if kind == "phone" and not 8 <= len(digits) <= 15:
         return []
     if kind == "ipv4":
         digits = ".".join(str(int(x)) for x in text.split("."))
