@@ -30,8 +30,9 @@ class Settings:
     """``terms`` hashed words, ``rank`` directions from ``rank + extra`` random ones.
 
     Documents are read in steps of ``step`` words and passages of 2, 4 and 8 steps; an item is
-    compared with passages of the longest such size that is not above its own. A candidate has
-    at least ``cosine``; it counts if the longest common subsequence has ``share`` of the item's
+    compared with passages of the longest such size that is not above its own. Terms in more than
+    ``common`` of the passages say little and weigh a hundredth. A candidate has at least
+    ``cosine``; it counts if the longest common subsequence has ``share`` of the item's
     words (all of them below ``short`` words) and of the answer's. The answer is that of the
     benchmark or, if it has none, the last quarter of the item. Items are searched in blocks of
     about ``block``, each with a pass over the documents.
@@ -42,7 +43,8 @@ class Settings:
     extra: int = 8
     step: int = 8
     sizes: tuple[int, ...] = (2, 4, 8)
-    cosine: float = 0.5
+    common: float = 0.02
+    cosine: float = 0.6
     share: float = 0.6
     short: int = 8
     block: int = 4096
@@ -62,6 +64,31 @@ def steps(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, n) + own * step, n
 
 
+def segment_sums(rows: np.ndarray, picks: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Sums of ``rows[picks[s:e]]`` for each start and end, by blocks of 8.
+
+    The same as ``np.add.reduceat`` for segments that are not empty, but several times faster
+    for rows of some width.
+    """
+    while True:
+        blocks = -(-(ends - starts) // 8)
+        last = np.cumsum(blocks)
+        first = np.repeat(starts, blocks) + 8 * (np.arange(last[-1]) - np.repeat(last - blocks, blocks))
+        stop = np.minimum(first + 8, np.repeat(ends, blocks))
+        out = rows[picks[first]]
+        for i in range(1, 8):
+            live = np.flatnonzero(first + i < stop)
+            if not len(live):
+                break
+            if len(live) == len(first):
+                out += rows[picks[first + i]]
+            else:
+                out[live] += rows[picks[first[live] + i]]
+        if len(out) == len(starts):
+            return out
+        rows, picks, starts, ends = out, np.arange(len(out)), last - blocks, last
+
+
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for part in chunks(batch, "text", CHUNK):
@@ -71,9 +98,10 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 @dataclass(frozen=True)
 class Space:
-    """Per term, its weighted vector in the scaled space."""
+    """Per term, its weighted vector in the scaled space, and whether it is a rare one."""
 
     vectors: np.ndarray
+    rare: np.ndarray
 
 
 def frequencies(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
@@ -117,7 +145,9 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
     held, passages = frequencies(docs, settings)
     if not passages:
         return None
-    weight = np.log((1 + passages) / (1 + held)).astype(np.float32)
+    rare = held <= settings.common * passages
+    weight = np.log((1 + passages) / (1 + held)).astype(np.float32) * np.where(rare, 1, 0.01)
+    weight = weight.astype(np.float32)
     size, width, rows = settings.step * settings.sizes[-1], settings.rank + settings.extra, 256
     noise = np.random.default_rng(settings.seed).standard_normal((settings.terms, width))
     noise = noise.astype(np.float32)
@@ -132,12 +162,14 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
             if not len(starts):
                 continue
             terms = term(hashes, settings)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(hashes)]))
-            out = np.add.reduceat(weighted[terms], starts)
-            order = np.argsort(terms, kind="stable")
+            ends = np.r_[starts[1:], len(hashes)]
+            passage = np.repeat(np.arange(len(starts)), ends - starts)
+            out = segment_sums(weighted, terms, starts, ends)
+            order = np.argsort(terms.astype(np.min_scalar_type(settings.terms)), kind="stable")
             terms = terms[order]
             first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
-            total[terms[first]] += np.add.reduceat(out[passage[order]], first)
+            ends = np.r_[first[1:], len(terms)]
+            total[terms[first]] += segment_sums(out, passage[order], first, ends)
         total *= weight[:, None]
         yield pa.record_batch(
             {
@@ -173,17 +205,25 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
     vectors, singular, _ = np.linalg.svd(product @ root, full_matrices=False)
     k = min(settings.rank, int((singular > singular[0] * 1e-6).sum()))
     scaled = weight[:, None] * vectors[:, :k] / singular[:k]
-    return Space((scaled * np.sqrt(passages)).astype(np.float32))
+    return Space((scaled * np.sqrt(passages)).astype(np.float32), rare)
 
 
 @dataclass(frozen=True)
 class Items:
-    """Items of a block: ids, words, answers, and per passage size the places and vectors."""
+    """Items of a block: ids, words, answers, and per passage size the places and vectors.
+
+    ``sorted`` has the different words of an item and its answer. ``needs`` has the words that must be common, and how many of them rare ones. ``at`` and
+    ``by_term`` list the items that hold each rare term.
+    """
 
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
     groups: dict[int, tuple[np.ndarray, np.ndarray]]
+    sorted: list[np.ndarray]
+    needs: np.ndarray
+    at: np.ndarray
+    by_term: np.ndarray
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -192,7 +232,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def prepared(rows: list[tuple[int, str, str | None]], space: Space, settings: Settings) -> Items:
     """Items that have any word; one without is in no document."""
-    ids, own, answers, vectors, size = [], [], [], [], []
+    ids, own, answers, vectors, size, needs, held = [], [], [], [], [], [], []
     for item, text, answer in rows:
         hashes, _ = words([(text or "").encode()])
         if not len(hashes):
@@ -201,7 +241,13 @@ def prepared(rows: list[tuple[int, str, str | None]], space: Space, settings: Se
         own.append(hashes.tolist())
         told = words([answer.encode()])[0].tolist() if answer else []
         answers.append(told or own[-1][-max(1, len(hashes) // 4) :])
-        vectors.append(space.vectors[term(hashes, settings)].sum(0))
+        terms = term(hashes, settings)
+        vectors.append(space.vectors[terms].sum(0))
+        least = len(hashes) if len(hashes) < settings.short else ceil(settings.share * len(hashes))
+        rare = terms[space.rare[terms]]
+        # Of `least` common words, at most those that are not rare can be others.
+        needs.append((least, least - (len(terms) - len(rare))))
+        held += [(int(t), len(ids) - 1) for t in set(rare.tolist())]
         fits = [s for s in settings.sizes if s * settings.step <= len(hashes)]
         size.append(max(fits, default=settings.sizes[0]))
     groups = {}
@@ -209,7 +255,11 @@ def prepared(rows: list[tuple[int, str, str | None]], space: Space, settings: Se
         at = np.flatnonzero(np.array(size) == s)
         if len(at):
             groups[s] = (at, unit(np.stack([vectors[i] for i in at])).T.copy())
-    return Items(ids, own, answers, groups)
+    held.sort()
+    at = np.searchsorted([t for t, _ in held], np.arange(settings.terms + 1))
+    by_term = np.array([i for _, i in held], np.int64)
+    known = [np.unique(np.array([*w, *a], np.uint64)) for w, a in zip(own, answers, strict=True)]
+    return Items(ids, own, answers, groups, known, np.array(needs).reshape(-1, 2), at, by_term)
 
 
 def common(a: list[int], b: list[int]) -> int:
@@ -225,46 +275,75 @@ def common(a: list[int], b: list[int]) -> int:
     return len(a) - state.bit_count()
 
 
+def rare_hits(terms: np.ndarray, step: np.ndarray, steps: int, items: Items) -> np.ndarray:
+    """Sorted item * steps + step of every word that is a rare term of an item."""
+    n = items.at[terms + 1] - items.at[terms]
+    first = np.repeat(items.at[terms], n)
+    own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort(items.by_term[first + own] * steps + np.repeat(step, n))
+
+
 def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     """(text, item, cosine, common words, first word) of each verified pair, the best passage."""
     hashes, counts = words(texts)
     starts, per_text = steps(counts, settings.step)
     if not len(starts):
         return []
-    sums = np.add.reduceat(space.vectors[term(hashes, settings)], starts)
+    terms = term(hashes, settings)
+    sums = segment_sums(space.vectors, terms, starts, np.r_[starts[1:], len(terms)])
     total = np.zeros((len(sums) + 1, sums.shape[1]))
     np.cumsum(sums, axis=0, out=total[1:])
     text = np.repeat(np.arange(len(texts)), per_text)
     end = np.cumsum(per_text)[text]
+    begin = end - per_text[text]
     word_end = np.cumsum(counts)
+    lengths = np.diff(np.r_[starts, len(hashes)])
+    hits = rare_hits(terms, np.repeat(np.arange(len(starts)), lengths), len(starts), items)
+    # A passage is tried at every half of its size, so one of them lies within an item of its
+    # size or more by three quarters at least, and the item ends so many words around it.
+    sizes = np.zeros(len(items.words), int)
+    for size, (places, _) in items.groups.items():
+        sizes[places] = size * settings.step
+    margin = np.array([len(w) for w in items.words]) - sizes * 3 // 4
+    margin = np.maximum(margin, settings.step)
+    reach = -(-margin // settings.step)
     out = {}
     for size, (places, vectors) in items.groups.items():
-        first = np.arange(0, len(starts))
-        inner = first - (end - per_text[text])
-        # Every second half of a passage starts one; the last steps of a text belong to shorter ones.
-        first = first[inner % (size // 2) == 0]
+        # Every second half of a passage starts one; the last of a text are shorter.
+        first = np.arange(len(starts))
+        first = first[(first - begin) % (size // 2) == 0]
         last = np.minimum(first + size, end[first])
         passages = unit((total[last] - total[first]).astype(np.float32))
         for at in range(0, len(passages), 8192):
             near = passages[at : at + 8192] @ vectors
-            for p, j in zip(*np.nonzero(near >= settings.cosine), strict=True):
-                step, item = first[at + p], places[j]
-                pair = (int(text[step]), int(item))
-                cosine = float(near[p, j])
-                if cosine <= out.get(pair, (0.0,))[0]:
+            p, j = np.nonzero(near >= settings.cosine)
+            cosine, step, item = near[p, j], first[at + p], places[j]
+            # Too few rare words around rule a candidate out before its words are aligned.
+            low = np.maximum(step - reach[item], begin[step])
+            high = np.minimum(step + size + reach[item], end[step])
+            base = item * len(starts)
+            rare = np.searchsorted(hits, base + high) - np.searchsorted(hits, base + low)
+            good = np.flatnonzero(rare >= items.needs[item, 1])
+            for c, s, i in zip(cosine[good].tolist(), step[good].tolist(), item[good].tolist()):
+                pair = (int(text[s]), i)
+                if c <= out.get(pair, (0.0,))[0]:
+                    continue
+                own, answer = items.words[i], items.answers[i]
+                begin_word = int(word_end[pair[0]] - counts[pair[0]])
+                around = int(reach[i]) * settings.step
+                left = max(int(starts[s]) - around, begin_word)
+                right = min(int(starts[s]) + size * settings.step + around, int(word_end[pair[0]]))
+                region = hashes[left:right]
+                known = items.sorted[i]
+                at_known = np.minimum(np.searchsorted(known, region), len(known) - 1)
+                region = region[known[at_known] == region].tolist()
+                if len(region) < items.needs[i, 0]:
+                    continue
+                shared = common(own, region)
+                if shared < items.needs[i, 0]:
                     continue
-                own = items.words[item]
-                low = max(starts[step] - len(own), word_end[pair[0]] - counts[pair[0]])
-                high = min(starts[step] + size * settings.step + len(own), word_end[pair[0]])
-                region = hashes[low:high].tolist()
-                least = len(own) if len(own) < settings.short else ceil(settings.share * len(own))
-                shared = len(own) if not least else 0
-                if len(set(own) & set(region)) * 2 >= len(set(own)):
-                    shared = common(own, region)
-                answer = items.answers[item]
-                if shared >= least and common(answer, region) >= settings.share * len(answer):
-                    first_word = int(starts[step] - (word_end[pair[0]] - counts[pair[0]]))
-                    out[pair] = (cosine, shared, first_word)
+                if common(answer, region) >= settings.share * len(answer):
+                    out[pair] = (c, shared, int(starts[s]) - begin_word)
     return [(*pair, *facts) for pair, facts in out.items()]
 
 
