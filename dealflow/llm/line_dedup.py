@@ -95,12 +95,13 @@ def common_lines(
 def line_table(rows: DataFrame) -> DataFrame:
     """rid, doc_id, lines (hashes) and sizes of each different row."""
     cut = F.split(F.col("text"), BREAK)
-    return rows.dropDuplicates(["rid"]).select(
+    hashed = rows.select(
         "rid",
         "doc_id",
         F.transform(cut, lambda x: F.xxhash64(F.trim(x))).alias("lines"),
         F.transform(cut, lambda x: F.length(F.trim(x))).alias("sizes"),
     )
+    return hashed.dropDuplicates(["rid"])
 
 
 def linked(table: DataFrame, settings: Settings) -> DataFrame:
@@ -177,7 +178,8 @@ def shortened(
     cut = F.split(F.col(f"`{text}`"), BREAK)
     left = F.array_join(F.filter(cut, lambda _, i: ~F.get(F.col(flags), i)), BREAK)
     n_lines, n_removed = fresh(docs, "n_lines"), fresh(docs, "n_removed")
-    return named.join(gone, rid, "left").select(
+    # The flags grow with the documents, so they are not broadcast.
+    return named.join(gone.hint("merge"), rid, "left").select(
         *[
             (F.when(F.col(flags).isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text else docs[f"`{c}`"])
             for c in docs.columns

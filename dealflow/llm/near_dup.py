@@ -116,7 +116,8 @@ def shingled(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFram
                 yield pa.record_batch({"k": part.column("k"), "set": pa.array(sets, pa.binary())})
 
     by = ["doc_id", "text_hash"]
-    texts = docs.join(wanted.select("k", "rep.*"), by).dropDuplicates(by)
+    # The classes grow with the documents, so they are not broadcast.
+    texts = docs.join(wanted.select("k", "rep.*").hint("merge"), by).dropDuplicates(by)
     return texts.select("k", "text").mapInArrow(run, "k binary, set binary")
 
 
@@ -338,4 +339,5 @@ def deduplicated(docs: DataFrame, doc_id="doc_id", text="text", settings: Settin
     match = (docs[f"`{doc_id}`"] == gone["gone_id"]) & (
         F.xxhash64(docs[f"`{text}`"]) == gone["gone_hash"]
     )
-    return docs.join(gone, match, "left_anti")
+    # They grow with the documents, so they are not broadcast.
+    return docs.join(gone.hint("merge"), match, "left_anti")

@@ -159,7 +159,7 @@ def contexts(docs: DataFrame, open_: DataFrame, settings: Settings) -> DataFrame
 
     lists = open_.groupBy("rid").agg(F.collect_list(F.struct("span", "known")).alias("spans"))
     # Rows that are repeated as a whole have no open span of their own but may be witnesses.
-    texts = docs.join(lists, "rid").dropDuplicates(["rid"]).select("rid", "text", "spans")
+    texts = docs.join(lists.hint("merge"), "rid").dropDuplicates(["rid"]).select("rid", "text", "spans")
     return texts.mapInArrow(run, "rid long, span long, known boolean, bytes binary")
 
 
@@ -291,6 +291,7 @@ def without_repeats(
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(
+    # Spans grow with the documents, so they are not broadcast.
+    return rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
