@@ -192,8 +192,7 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
         )
 
     made = docs.mapInArrow(multiply, "block long, sums binary")
-    spread = min(settings.terms // rows, 32)
-    made = made.repartition(spread, "block").mapInArrow(add, "block long, sums binary")
+    made = made.repartition(max(1, settings.terms // rows), "block").mapInArrow(add, "block long, sums binary")
     product = np.zeros((settings.terms, width))
     for block, own in made.collect():
         product[block * rows : (block + 1) * rows] = np.frombuffer(own, np.float32).reshape(rows, width)

@@ -31,7 +31,7 @@ from dealflow.llm.common import chunks, columns, joined, stored, text_or_empty
 from dealflow.llm.rolling import U64, inverse_powers, prefix_hash, span_hash
 from dealflow.llm.shingles import mixed
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: A span is one number: start * WIDTH + strings that follow the first one.
 WIDTH = 256
 
