@@ -1,6 +1,7 @@
 """SQL for DuckDB that gives the result of each report from the same order tables.
 
-Written from the rules of the reports, with whole-number arithmetic for every rounding.
+Written from the rules of the reports, with whole-number arithmetic for every rounding. Labels,
+texts and thresholds are fixed values of the rules, stated as they are.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ MID = f"{TO_CLOSE} BETWEEN 31 AND 90"
 LATER = f"{TO_CLOSE} > 90"
 COMPETITOR = f"({LOST} AND Competitor_Name <> '')"
 SIZE_TIER = (
-    "CASE WHEN Deal_Size IS NULL OR Deal_Size > 99999 THEN 'Enterprise' "
-    "WHEN Deal_Size > 49999 THEN 'Large' WHEN Deal_Size > 9999 THEN 'Mid' ELSE 'Small' END"
+    "CASE WHEN Deal_Size IS NULL OR Deal_Size >= 100000 THEN 'Enterprise' "
+    "WHEN Deal_Size >= 50000 THEN 'Large' WHEN Deal_Size >= 10000 THEN 'Mid' ELSE 'Small' END"
 )
 
 
@@ -62,18 +63,22 @@ def _mean(value: str, where: str = "TRUE") -> str:
 
 
 def _ratio(n: str, d: str, digits: int = 2, factor: int = 1, divisor: int = 1) -> str:
-    """factor * n / (divisor * d), rounded half to even, for whole n and d."""
+    """factor * n / (divisor * d), rounded half to even, for whole n and d in millionths."""
     scale = 10**digits
-    top = f"(CAST({n} AS HUGEINT) * {factor * scale})"
-    low = f"(CAST({d} AS HUGEINT) * {divisor})"
+    top = f"(CAST({n} AS HUGEINT) * {factor * scale * 10**6})"
+    low = f"(CAST(round({d} * 1000000) AS HUGEINT) * {divisor})"
     quotient, rest = f"({top} // {low})", f"({top} % {low})"
     up = f"(2 * {rest} > {low} OR (2 * {rest} = {low} AND {quotient} % 2 = 1))"
     return (
-        f"(CASE WHEN {d} <> 0 THEN "
+        f"(CASE WHEN {low} <> 0 THEN "
         f"CAST({quotient} + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / {scale} END)"
     )
 
 
+# Quotas are added as decimals, so that the sum is the same in any order.
+QUOTA = "CAST(sum(CAST(Quota_Contribution AS DECIMAL(28, 10))) AS DOUBLE)"
+
+
 def _list(value: str, separator: str = ", ") -> str:
     return f"string_agg(DISTINCT {value}, '{separator}' ORDER BY {value})"
 
@@ -101,7 +106,8 @@ SELECT *, {_ratio('ytd_won_value', 'ytd_quota_contribution', 1, 100)} AS quota_a
 FROM (
   SELECT Sales_Rep, Region, {_total_if(WON)} AS ytd_won_value,
     {_total_if(LOST)} AS ytd_lost_value,
-    sum(CASE WHEN {WON} THEN Quota_Contribution ELSE 0 END) AS ytd_quota_contribution,
+    CAST(sum(CASE WHEN {WON} THEN CAST(Quota_Contribution AS DECIMAL(28, 10)) ELSE 0 END) AS DOUBLE)
+      AS ytd_quota_contribution,
     {_mean('Deal_Size', WON)} AS avg_won_deal_size,
     {_mean('Deal_Size', LOST)} AS avg_lost_deal_size,
     {_mean('Sales_Cycle_Days', WON)} AS avg_won_cycle_days,
@@ -154,7 +160,7 @@ ORDER BY total_pipeline DESC, Sales_Rep, Region""",
     "coverage_by_rep": f"""
 , totals AS (
   SELECT Sales_Rep, Region, {_total('Deal_Size')} AS total_pipeline, {WEIGHTED} AS points,
-    sum(Quota_Contribution) AS quota_target,
+    {QUOTA} AS quota_target,
     {_total_if(NEAR)} AS pipeline_0_30_days, {_total_if(MID)} AS pipeline_31_90_days
   FROM deals WHERE {OPEN} GROUP BY Sales_Rep, Region)
 SELECT * EXCLUDE (points), CAST(points AS DOUBLE) / 100 AS weighted_pipeline,
@@ -171,8 +177,8 @@ FROM deals WHERE {OPEN} GROUP BY Sales_Rep, Region, Forecast_Category
 ORDER BY Sales_Rep, Forecast_Category, Region""",
     "coverage_by_region": f"""
 SELECT Region, count(DISTINCT Sales_Rep) AS rep_count, {_total('Deal_Size')} AS total_pipeline,
-  {WEIGHTED_VALUE} AS weighted_pipeline, sum(Quota_Contribution) AS total_quota,
-  {_ratio('sum(Deal_Size)', 'sum(Quota_Contribution)')} AS region_coverage_ratio,
+  {WEIGHTED_VALUE} AS weighted_pipeline, {QUOTA} AS total_quota,
+  {_ratio('sum(Deal_Size)', QUOTA)} AS region_coverage_ratio,
   {_total_if(NEAR)} AS pipeline_0_30_days, {_total_if(MID)} AS pipeline_31_90_days,
   {_total_if(LATER)} AS pipeline_90_plus_days
 FROM deals WHERE {OPEN} GROUP BY Region
@@ -180,8 +186,8 @@ ORDER BY region_coverage_ratio DESC NULLS LAST, Region""",
     "coverage_health": f"""
 , totals AS (
   SELECT Sales_Rep, Region, {_total('Deal_Size')} AS total_pipeline,
-    sum(Quota_Contribution) AS quota_target,
-    {_ratio('sum(Deal_Size)', 'sum(Quota_Contribution)')} AS coverage_ratio,
+    {QUOTA} AS quota_target,
+    {_ratio('sum(Deal_Size)', QUOTA)} AS coverage_ratio,
     {_total_if(NEAR)} AS pipeline_0_30_days, {_total_if(MID)} AS pipeline_31_90_days
   FROM deals WHERE {OPEN} GROUP BY Sales_Rep, Region)
 SELECT *, CASE WHEN coverage_ratio >= 3 OR coverage_ratio IS NULL THEN 'HEALTHY'
@@ -359,14 +365,14 @@ _PATTERNS = f"""
       AS common_loss_reasons,
     {_list(f'CASE WHEN {COMPETITOR} THEN Competitor_Name END')} AS competitors
   FROM deals WHERE {CLOSED} GROUP BY Lead_Source, Industry, size_tier
-  HAVING count(*) > 2 AND {_pct(_n(LOST), 'count(*)')} >= 50)"""
+  HAVING count(*) >= 3 AND {_pct(_n(LOST), 'count(*)')} >= 50)"""
 
 # The sizes compared here leave out deals without one.
 _TIERS = {
     "small": "Deal_Size < 10000",
-    "mid": "Deal_Size BETWEEN 10000 AND 49999",
-    "large": "Deal_Size BETWEEN 50000 AND 99999",
-    "enterprise": "Deal_Size > 99999",
+    "mid": "Deal_Size >= 10000 AND Deal_Size < 50000",
+    "large": "Deal_Size >= 50000 AND Deal_Size < 100000",
+    "enterprise": "Deal_Size >= 100000",
 }
 
 AUTOMATION = {
@@ -399,8 +405,8 @@ FROM risks ORDER BY health_score, Deal_Size DESC NULLS LAST, Opportunity_ID""",
 , scored AS (SELECT *, 100 - {_PENALTY} AS score FROM deals WHERE {OPEN})
 SELECT Sales_Rep, Region, count(*) AS open_deals,
   {_round('sum(score)', 'count(*)', 1)} AS avg_health_score,
-  {_n('score < 40')} AS critical_deals, {_n('score BETWEEN 40 AND 69')} AS at_risk_deals,
-  {_n('score > 69')} AS healthy_deals, {_total_if('score < 40')} AS critical_value,
+  {_n('score < 40')} AS critical_deals, {_n('score >= 40 AND score < 70')} AS at_risk_deals,
+  {_n('score >= 70')} AS healthy_deals, {_total_if('score < 40')} AS critical_value,
   {_pct(_total_if('score < 40'), 'sum(Deal_Size)')} AS pct_pipeline_critical
 FROM scored GROUP BY Sales_Rep, Region ORDER BY avg_health_score, Sales_Rep, Region""",
     "priority_queue": f"""
@@ -454,7 +460,7 @@ FROM joined ORDER BY Sales_Rep, Stage, Opportunity_ID""",
 , pipeline AS (
   SELECT Sales_Rep, Region, {_total('Deal_Size')} AS total_pipeline,
     {_total_if(NEAR)} AS pipeline_0_30, {_total_if(MID)} AS pipeline_31_90,
-    sum(Quota_Contribution) AS quota_target
+    {QUOTA} AS quota_target
   FROM deals WHERE {OPEN} GROUP BY Sales_Rep, Region),
 won AS (
   SELECT Sales_Rep AS winner, {_total('Deal_Size')} AS won_value
@@ -518,6 +524,11 @@ SELECT Sales_Rep, Region, count(*) AS deals_created_this_week,
     AS new_deals
 FROM deals WHERE Created_Date >= {MONDAY} GROUP BY Sales_Rep, Region
 ORDER BY new_pipeline_value DESC NULLS LAST, Sales_Rep, Region""",
+    "week_created_deals": f"""
+SELECT Sales_Rep, Region, row_number() OVER (PARTITION BY Sales_Rep, Region
+    ORDER BY Deal_Size DESC NULLS LAST, Opportunity_Name NULLS FIRST, Opportunity_ID) AS position,
+  Opportunity_ID, Opportunity_Name, Deal_Size
+FROM deals WHERE Created_Date >= {MONDAY} ORDER BY Sales_Rep, Region, position""",
     "week_closed": f"""
 SELECT Sales_Rep, Region, {_n(WON)} AS won_this_week, {_n(LOST)} AS lost_this_week,
   {_total_if(WON)} AS won_value, {_total_if(LOST)} AS lost_value
@@ -530,6 +541,12 @@ SELECT Sales_Rep, Region, count(*) AS newly_stalled, {_total('Deal_Size')} AS st
     AS stalled_deals
 FROM deals WHERE {OPEN} AND {STALLED} AND {IDLE} BETWEEN 7 AND 14 GROUP BY Sales_Rep, Region
 ORDER BY stalled_value DESC NULLS LAST, Sales_Rep, Region""",
+    "week_stalled_deals": f"""
+SELECT Sales_Rep, Region, row_number() OVER (PARTITION BY Sales_Rep, Region
+    ORDER BY Deal_Size DESC NULLS LAST, Opportunity_Name NULLS FIRST, Opportunity_ID) AS position,
+  Opportunity_ID, Opportunity_Name, Stage, Deal_Size
+FROM deals WHERE {OPEN} AND {STALLED} AND {IDLE} BETWEEN 7 AND 14
+ORDER BY Sales_Rep, Region, position""",
     "weekly_digest": f"""
 , snapshot AS (
   SELECT Sales_Rep, Region, count(*) AS open_deals, {_total('Deal_Size')} AS open_pipeline,
@@ -591,7 +608,8 @@ def _won_lost(period: str) -> str:
 SELECT CAST(CAST(date_trunc('{period}', Close_Date) AS DATE) AS VARCHAR) AS period_start,
   {_n(WON)} AS won, {_n(LOST)} AS lost,
   {_pct(_n(WON), 'count(*)')} AS won_pct, {_pct(_n(LOST), 'count(*)')} AS lost_pct
-FROM deals WHERE {CLOSED} AND Close_Date IS NOT NULL GROUP BY ALL ORDER BY period_start"""
+FROM deals WHERE {CLOSED} AND Close_Date_raw <> '' GROUP BY ALL
+ORDER BY period_start NULLS FIRST"""
 
 
 ANNOUNCED = {
@@ -612,17 +630,19 @@ ORDER BY lost_deals DESC, Reason_Lost LIMIT 10""",
     "weekly_deal_creation": f"""
 SELECT CAST(CAST(date_trunc('week', Created_Date) AS DATE) AS VARCHAR) AS week_start,
   count(*) AS deals_created, {_total('Deal_Size')} AS pipeline_added
-FROM deals WHERE Created_Date IS NOT NULL GROUP BY ALL ORDER BY week_start""",
+FROM deals WHERE Created_Date_raw <> '' GROUP BY ALL ORDER BY week_start NULLS FIRST""",
     "mom_creation": f"""
 , months AS (
   SELECT strftime(Created_Date, '%Y-%m') AS created_month, count(*) AS deals_created
-  FROM deals WHERE Created_Date IS NOT NULL GROUP BY ALL)
-SELECT created_month, deals_created,
-  lag(deals_created) OVER (ORDER BY created_month) AS previous_month,
-  (SELECT max(deals_created) FROM months) AS max_month,
-  deals_created - lag(deals_created) OVER (ORDER BY created_month) AS change,
-  {_pct('deals_created', '(SELECT max(deals_created) FROM months)')} AS pct_of_max
-FROM months ORDER BY created_month""",
+  FROM deals WHERE Created_Date_raw <> '' GROUP BY ALL),
+dated AS (
+  SELECT *, lag(deals_created) OVER (ORDER BY created_month) AS previous_month,
+    max(deals_created) OVER () AS max_month
+  FROM months WHERE created_month IS NOT NULL)
+SELECT m.created_month, m.deals_created, previous_month, max_month,
+  m.deals_created - previous_month AS change, {_pct('m.deals_created', 'max_month')} AS pct_of_max
+FROM months m LEFT JOIN dated d ON d.created_month = m.created_month
+ORDER BY m.created_month NULLS FIRST""",
     "commit_accuracy": f"""
 , rates AS (
   SELECT Sales_Rep, {_n(WON)} AS committed_won, {_n(LOST)} AS committed_lost,

@@ -24,6 +24,9 @@ def arguments() -> argparse.ArgumentParser:
     make = tasks.add_parser("ingest", help="type a raw deal table and store it")
     make.add_argument("--raw", required=True, help="path or table name")
     make.add_argument("--format", default="parquet", help="a Spark format, or 'table'")
+    make.add_argument(
+        "--option", action="append", default=[], metavar="NAME=VALUE", help="option of the reader"
+    )
     make.add_argument("--date-format", default=ISO_FORMAT)
     make.add_argument("--normalize", action="store_true", help="trim texts, mend label case")
     make.add_argument("--deals", required=True, help="folder of the typed table")
@@ -32,7 +35,8 @@ def arguments() -> argparse.ArgumentParser:
     give.add_argument("names", nargs="+", choices=sorted(REPORTS), metavar="name")
     give.add_argument("--deals", required=True, help="folder of the typed table")
     give.add_argument("--as-of", type=dt.date.fromisoformat, help="report day, default today")
-    give.add_argument("--out", help="folder to write to; without it rows are shown")
+    give.add_argument("--out", help="folder to write to; without it all rows are printed")
+    give.add_argument("--rows", type=int, help="print only the first so many rows")
     give.add_argument("--out-format", default="parquet")
     return parser
 
@@ -41,7 +45,8 @@ def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = tuned(SparkSession.builder).appName("dealflow").getOrCreate()
     if args.task == "ingest":
-        raw = read_raw(spark, args.raw, args.format)
+        options = dict(option.split("=", 1) for option in args.option)
+        raw = read_raw(spark, args.raw, args.format, **options)
         write_deals(ingest(raw, args.date_format, args.normalize), args.deals)
         return
     deals = read_deals(spark, args.deals)
@@ -50,7 +55,10 @@ def main(argv: list[str] | None = None) -> None:
         if args.out:
             write_report(report, f"{args.out}/{name}", args.out_format)
         else:
-            report.show(truncate=False)
+            shown = report if args.rows is None else report.limit(args.rows)
+            print(name, *report.columns, sep="\t")
+            for row in shown.toLocalIterator():
+                print(name, *row, sep="\t")
 
 
 if __name__ == "__main__":

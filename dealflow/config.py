@@ -93,6 +93,8 @@ class Thresholds:
     # Routing
     senior_months: int = 12
     capacity_deals: int = 10
+    # Best candidates given per prospect; None for all
+    match_candidates: int | None = None
 
     # Lead source grades, in percent
     grade_a_win: float = 60
@@ -100,8 +102,9 @@ class Thresholds:
     grade_b_win: float = 40
     grade_d_stall: float = 50
 
-    # Campaign ranking
+    # Rows of the campaign ranking and of the loss reasons
     top_n: int = 10
+    top_reasons: int = 10
 
     # Commit accuracy profiles, in percent
     accuracy_cuts: tuple[float, float, float] = (80, 60, 40)
@@ -109,15 +112,8 @@ class Thresholds:
     # Scale: a lookup up to this size is broadcast, a larger one is joined by salted shuffle
     broadcast_rows: int = 200_000
     broadcast_chars: int = 32_000_000
-    salts: int = 64
     # Scale: a group up to this many rows is sorted by one task, a larger one is split
     task_rows: int = 2_000_000
-    # Scale: most partitions that a report asks for by itself
-    max_partitions: int = 100_000
-    # Scale: items and characters that one list cell may hold before the list goes on in a
-    # further row
-    list_items: int = 1_000_000
-    list_chars: int = 128_000_000
 
 
 DEFAULTS = Thresholds()

@@ -53,6 +53,12 @@ def days_idle(as_of: dt.date | None) -> Column:
     return F.datediff(day(as_of), F.col("Last_Activity_Date"))
 
 
+def idle_between(least: int, most: int, as_of: dt.date | None) -> Column:
+    """``days_idle`` between two limits, as a range of dates that a Parquet scan can prune by."""
+    today = day(as_of)
+    return F.col("Last_Activity_Date").between(F.date_sub(today, most), F.date_sub(today, least))
+
+
 def overdue(as_of: dt.date | None) -> Column:
     return F.col("Expected_Close_Date") < day(as_of)
 

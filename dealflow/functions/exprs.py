@@ -98,6 +98,20 @@ def quota_ratio(n: Column, quota: Column, digits: int = 2, factor: int = 1) -> C
     return F.bround(scaled / denominator, digits).cast("double")
 
 
+def quota_sum(quota: Column) -> Column:
+    """Sum of a DOUBLE quota as a decimal, which does not hang on the order of the rows."""
+    return F.sum(quota.try_cast("decimal(28,10)"))
+
+
+def quota_double(total: Column) -> Column:
+    """Such a sum as DOUBLE, by way of a text: the cast may miss the nearest one."""
+    return total.cast("string").cast("double")
+
+
+def quota_total(quota: Column) -> Column:
+    return quota_double(quota_sum(quota))
+
+
 def whole(n: Column) -> Column:
     """A whole number as decimal, the form ``quota_ratio`` takes."""
     return n.cast("decimal(20,0)")

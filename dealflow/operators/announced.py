@@ -54,7 +54,7 @@ def stuck_deals(
 def _won_lost_pct(deals: DataFrame, start: str) -> DataFrame:
     won, lost = F.count_if(X.is_won()), F.count_if(X.is_lost())
     return (
-        deals.where(X.is_closed() & F.col("Close_Date").isNotNull())
+        deals.where(X.is_closed() & X.present(F.col("Close_Date_raw")))
         .groupBy(F.trunc("Close_Date", start).cast("string").alias("period_start"))
         .agg(
             won.alias("won"),
@@ -69,21 +69,21 @@ def _won_lost_pct(deals: DataFrame, start: str) -> DataFrame:
 def won_lost_pct_by_month(
     deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
 ) -> DataFrame:
-    """Shares of won and lost deals per closing month."""
+    """Shares of won and lost deals per closing month; NULL for dates that cannot be read."""
     return _won_lost_pct(deals, "month")
 
 
 def won_lost_pct_by_quarter(
     deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
 ) -> DataFrame:
-    """Shares of won and lost deals per closing quarter."""
+    """Shares of won and lost deals per closing quarter; NULL for dates that cannot be read."""
     return _won_lost_pct(deals, "quarter")
 
 
 def won_lost_pct_by_year(
     deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
 ) -> DataFrame:
-    """Shares of won and lost deals per closing year."""
+    """Shares of won and lost deals per closing year; NULL for dates that cannot be read."""
     return _won_lost_pct(deals, "year")
 
 
@@ -96,16 +96,16 @@ def top_loss_reasons(
         .groupBy("Reason_Lost")
         .agg(F.count("*").alias("lost_deals"), F.sum(X.size()).alias("lost_value"))
         .orderBy(F.desc("lost_deals"), "Reason_Lost")
-        .limit(cfg.top_n)
+        .limit(cfg.top_reasons)
     )
 
 
 def weekly_deal_creation(
     deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
 ) -> DataFrame:
-    """Deals created per week, named by its Monday."""
+    """Deals created per week, named by its Monday; NULL for dates that cannot be read."""
     return (
-        deals.where(F.col("Created_Date").isNotNull())
+        deals.where(X.present(F.col("Created_Date_raw")))
         .groupBy(F.trunc("Created_Date", "week").cast("string").alias("week_start"))
         .agg(F.count("*").alias("deals_created"), F.sum(X.size()).alias("pipeline_added"))
         .orderBy("week_start")
@@ -117,15 +117,18 @@ def mom_creation(
 ) -> DataFrame:
     """Deals created per month against the month before in the list and the best month.
 
-    The windows see one row per month.
+    Deals whose date cannot be read are a group of their own, with a NULL month, which is
+    compared with no other. The windows see one row per month.
     """
     months = (
-        deals.where(F.col("Created_Date").isNotNull())
+        deals.where(X.present(F.col("Created_Date_raw")))
         .groupBy(D.month(F.col("Created_Date")).alias("created_month"))
         .agg(F.count("*").alias("deals_created"))
     )
-    previous = F.lag("deals_created").over(Window.orderBy("created_month"))
-    best = F.max("deals_created").over(Window.partitionBy())
+    month = F.col("created_month")
+    previous = F.lag("deals_created").over(Window.partitionBy(month.isNull()).orderBy(month))
+    dated = F.when(month.isNotNull(), F.col("deals_created"))
+    best = F.when(month.isNotNull(), F.max(dated).over(Window.partitionBy()))
     return (
         months.withColumns({"previous_month": previous, "max_month": best})
         .withColumn("change", F.col("deals_created") - F.col("previous_month"))

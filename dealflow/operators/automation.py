@@ -20,7 +20,6 @@ from dealflow.plans import (
     settled,
     with_lists,
 )
-from dealflow.plans.textlist import PART
 
 REP = ["Sales_Rep", "Region"]
 PROFILE = ["Sales_Rep", "Region", "Rep_Tenure_Months"]
@@ -249,12 +248,13 @@ def forecast_suggestions(
     # In the order of the result before rates and texts are added, which then stay put.
     order = ["Sales_Rep", "Stage", "Opportunity_ID"]
     joined = join_lookup(
-        tiered.where(X.is_open()).repartitionByRange(*order),
+        tiered.where(X.is_open()),
         history,
         ["Stage", "_tier"],
         F.col("Opportunity_ID"),
         cfg,
         "left",
+        order,
     )
     rate = F.col("historical_win_rate")
     moving = F.col("Is_Stalled") == L.NOT_STALLED
@@ -305,25 +305,32 @@ def pipeline_gap_alerts(
 ) -> DataFrame:
     """Reps whose open pipeline is thin in the near or middle window.
 
-    ``ytd_won`` is the rep's total and shows in each of the rep's regions. Open deals and
-    the year's won deals come from one pass, added up before they are spread over regions.
+    ``ytd_won`` is the rep's total and shows in each of the rep's regions. Open deals and the
+    year's won deals are read from their own folders and dates, and added up together before
+    they are spread over regions.
     """
-    won_this_year = X.is_won() & D.in_year(F.col("Close_Date"), as_of)
     near, mid = X.closes_near(as_of, cfg), X.closes_mid(as_of, cfg)
-
-    def open_sum(value: Column) -> Column:
-        return F.sum(F.when(X.is_open(), value))
-
+    open_deals = deals.where(X.is_open()).select(
+        *REP,
+        F.lit(1).alias("_open"),
+        X.size().alias("_size"),
+        F.when(near, X.size()).otherwise(0).alias("_near"),
+        F.when(mid, X.size()).otherwise(0).alias("_mid"),
+        "Quota_Contribution",
+    )
+    won_deals = deals.where(X.is_won() & D.in_year(F.col("Close_Date"), as_of)).select(
+        *REP, X.size().alias("_won_size")
+    )
     totals = (
-        deals.where(X.is_open() | won_this_year)
+        open_deals.unionByName(won_deals, allowMissingColumns=True)
         .groupBy(*REP)
         .agg(
-            F.count_if(X.is_open()).alias("_open"),
-            open_sum(X.size()).alias("total_pipeline"),
-            open_sum(F.when(near, X.size()).otherwise(0)).alias("pipeline_0_30"),
-            open_sum(F.when(mid, X.size()).otherwise(0)).alias("pipeline_31_90"),
-            open_sum(F.col("Quota_Contribution")).alias("quota_target"),
-            F.sum(F.when(won_this_year, X.size())).alias("_won"),
+            F.count("_open").alias("_open"),
+            F.sum("_size").alias("total_pipeline"),
+            F.sum("_near").alias("pipeline_0_30"),
+            F.sum("_mid").alias("pipeline_31_90"),
+            X.quota_total(F.col("Quota_Contribution")).alias("quota_target"),
+            F.sum("_won_size").alias("_won"),
         )
         .withColumn("ytd_won", _over_rep("_won"))
         .where(F.col("_open") > 0)
@@ -366,13 +373,19 @@ def stale_deal_reminders(
 ) -> DataFrame:
     """Open deals idle for longer than their stage allows; other stages have no limit."""
     limit, idle = F.col("stage_threshold"), F.col("days_since_activity")
+    shortest = min(cfg.stage_limits.values(), default=0)
     level = (
         F.when(idle > limit * cfg.stale_dead, L.REMIND_DEAD)
         .when(idle > limit * cfg.stale_urgent, L.REMIND_URGENT)
         .otherwise(L.REMIND)
     )
     return (
-        deals.where(X.is_open() & F.col("Stage").isin(*cfg.stage_limits))
+        deals.where(
+            X.is_open()
+            & F.col("Stage").isin(*cfg.stage_limits)
+            # No more than the test below, as a date that the scan can prune by.
+            & (F.col("Last_Activity_Date") < F.date_sub(D.day(as_of), shortest))
+        )
         .select(
             "Sales_Rep",
             "Opportunity_ID",
@@ -523,7 +536,22 @@ def week_created(
         ", ",
         cfg,
     )
-    return created.orderBy(F.desc("new_pipeline_value"), *REP, PART).drop(PART)
+    return created.orderBy(F.desc("new_pipeline_value"), *REP)
+
+
+def _in_list_order(deals: DataFrame, columns: list[str], cfg: Thresholds) -> DataFrame:
+    """One row per deal, with its position in the list of its rep and region."""
+    order = [F.desc("Deal_Size"), F.col("Opportunity_Name"), F.col("Opportunity_ID")]
+    placed = numbered(deals.select(*REP, *columns), REP, order, "position", cfg)
+    return placed.orderBy(*REP, *order).select(*REP, "position", *columns)
+
+
+def week_created_deals(
+    deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
+) -> DataFrame:
+    """The deals behind ``week_created``, one row each, for lists of any length."""
+    created = deals.where(D.since_monday(F.col("Created_Date"), as_of))
+    return _in_list_order(created, ["Opportunity_ID", "Opportunity_Name", "Deal_Size"], cfg)
 
 
 def week_closed(
@@ -543,13 +571,17 @@ def week_closed(
     )
 
 
+def _newly_stalled(deals: DataFrame, as_of: dt.date | None, cfg: Thresholds) -> DataFrame:
+    recent = D.idle_between(cfg.idle_days, cfg.long_idle_days, as_of)
+    return deals.where(X.is_open() & X.is_stalled() & recent)
+
+
 def week_stalled(
     deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
 ) -> DataFrame:
     """Open stalled deals idle for one to two weeks per rep and region, with names."""
-    fresh = D.days_idle(as_of).between(cfg.idle_days, cfg.long_idle_days)
     stalled = listed(
-        deals.where(X.is_open() & X.is_stalled() & fresh),
+        _newly_stalled(deals, as_of, cfg),
         REP,
         {"newly_stalled": F.count("*"), "stalled_value": F.sum(X.size())},
         "stalled_deals",
@@ -557,7 +589,15 @@ def week_stalled(
         "; ",
         cfg,
     )
-    return stalled.orderBy(F.desc("stalled_value"), *REP, PART).drop(PART)
+    return stalled.orderBy(F.desc("stalled_value"), *REP)
+
+
+def week_stalled_deals(
+    deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
+) -> DataFrame:
+    """The deals behind ``week_stalled``, one row each, for lists of any length."""
+    columns = ["Opportunity_ID", "Opportunity_Name", "Stage", "Deal_Size"]
+    return _in_list_order(_newly_stalled(deals, as_of, cfg), columns, cfg)
 
 
 def weekly_digest(
@@ -566,27 +606,36 @@ def weekly_digest(
     """The week per rep and region with open deals.
 
     Created, won and lost are totals of the rep and show in each of the rep's regions; a
-    rep without open deals does not appear. One pass serves all four parts.
+    rep without open deals does not appear. Open deals, deals created since Monday and deals
+    closed since Monday are read by their own folders and dates and added up together.
     """
-    created = D.since_monday(F.col("Created_Date"), as_of)
-    closed = D.since_monday(F.col("Close_Date"), as_of)
-    won, lost = X.is_won() & closed, X.is_lost() & closed
-    stalled_size = F.when(X.is_stalled(), X.size()).otherwise(0)
-    totals = (
-        deals.where(X.is_open() | created | (X.is_closed() & closed))
-        .groupBy(*REP)
-        .agg(
-            F.count_if(created).alias("_created"),
-            F.sum(F.when(created, X.size())).alias("_created_value"),
-            F.count_if(won).alias("_won"),
-            F.sum(F.when(won, X.size())).alias("_won_value"),
-            F.count_if(lost).alias("_lost"),
-            F.sum(F.when(lost, X.size())).alias("_lost_value"),
-            F.count_if(X.is_open()).alias("open_deals"),
-            F.sum(F.when(X.is_open(), X.size())).alias("open_pipeline"),
-            F.count_if(X.is_open() & X.is_stalled()).alias("stalled_deals"),
-            F.sum(F.when(X.is_open(), stalled_size)).alias("stalled_value"),
-        )
+    size = X.size().alias("_size")
+    kind = lambda c: F.lit(True).alias(c)
+    open_deals = deals.where(X.is_open()).select(
+        *REP, size, kind("_is_open"), X.is_stalled().alias("_is_stalled")
+    )
+    created_deals = deals.where(D.since_monday(F.col("Created_Date"), as_of)).select(
+        *REP, size, kind("_is_created")
+    )
+    closed_deals = deals.where(
+        X.is_closed() & D.since_monday(F.col("Close_Date"), as_of)
+    ).select(*REP, size, X.is_won().alias("_is_won"), X.is_lost().alias("_is_lost"))
+    parts = open_deals.unionByName(created_deals, allowMissingColumns=True).unionByName(
+        closed_deals, allowMissingColumns=True
+    )
+    value = lambda c: F.sum(F.when(F.col(c), F.col("_size")))
+    stalled_size = F.when(F.col("_is_stalled"), F.col("_size")).otherwise(0)
+    totals = parts.groupBy(*REP).agg(
+        F.count_if("_is_created").alias("_created"),
+        value("_is_created").alias("_created_value"),
+        F.count_if("_is_won").alias("_won"),
+        value("_is_won").alias("_won_value"),
+        F.count_if("_is_lost").alias("_lost"),
+        value("_is_lost").alias("_lost_value"),
+        F.count("_is_open").alias("open_deals"),
+        value("_is_open").alias("open_pipeline"),
+        F.count_if(F.col("_is_open") & F.col("_is_stalled")).alias("stalled_deals"),
+        F.sum(F.when(F.col("_is_open"), stalled_size)).alias("stalled_value"),
     )
     spread = totals.select(
         *REP,
@@ -672,9 +721,20 @@ def deal_rep_matches(
     """Open prospects with every rep profile of their region that may take them.
 
     Deals of the largest tier need a senior rep. All candidates are part of the result,
-    so it has as many rows as there are prospects times eligible profiles of the region.
+    so it has as many rows as there are prospects times eligible profiles of the region;
+    with ``cfg.match_candidates`` only so many of the best per prospect.
     """
-    profiles = settled(
+    senior = F.col("Rep_Tenure_Months") >= cfg.senior_months
+    # The order of candidates is that of the profiles, the same for all prospects of a region.
+    best_first = [
+        F.desc("overall_win_rate"),
+        F.col("current_workload"),
+        F.col("recommended_rep"),
+        F.col("Rep_Tenure_Months"),
+    ]
+    by_region = Window.partitionBy("Region").orderBy(*best_first)
+    by_senior = Window.partitionBy("Region", senior).orderBy(*best_first)
+    profiles = (
         with_lists(
             deals.where(F.col("Region").isNotNull()),
             PROFILE,
@@ -694,6 +754,14 @@ def deal_rep_matches(
             "_industries",
         )
     )
+    if cfg.match_candidates is not None:
+        profiles = profiles.withColumns(
+            {
+                "_place": F.row_number().over(by_region),
+                "_place_senior": F.row_number().over(by_senior),
+            }
+        )
+    profiles = settled(profiles)
     prospects = deals.where(X.is_open() & (F.col("Stage") == L.PROSPECTING)).select(
         "Opportunity_ID",
         "Opportunity_Name",
@@ -702,15 +770,21 @@ def deal_rep_matches(
         "Deal_Size",
         X.size_tier(cfg).alias("size_tier"),
     )
-    senior = F.col("Rep_Tenure_Months") >= cfg.senior_months
     largest = F.col("size_tier") == L.ENTERPRISE
-    # Prospects are put into the order of the result before they multiply, so that the
-    # pairs are sorted where they arise, in as many partitions as the pairs need.
-    parts = pair_partitions(prospects, profiles, "Region", cfg)
-    ordered = prospects.repartitionByRange(parts, "Opportunity_ID")
-    joined = join_stored(ordered, profiles, ["Region"], F.col("Opportunity_ID"), cfg).where(
-        ~largest | senior
-    )
+    # Before a broadcast, prospects are put into the order of the result before they multiply,
+    # so that the pairs are sorted where they arise, in as many partitions as they need.
+    joined = join_stored(
+        prospects,
+        profiles,
+        ["Region"],
+        F.col("Opportunity_ID"),
+        cfg,
+        order=["Opportunity_ID"],
+        parts=pair_partitions(prospects, profiles, "Region", cfg),
+    ).where(~largest | senior)
+    if cfg.match_candidates is not None:
+        place = F.when(largest, F.col("_place_senior")).otherwise(F.col("_place"))
+        joined = joined.where(place <= cfg.match_candidates)
     reasons = F.concat_ws(
         "; ",
         F.lit(L.FIT_REGION),
@@ -730,10 +804,4 @@ def deal_rep_matches(
         "overall_win_rate",
         "current_workload",
         reasons.alias("fit_reasons"),
-    ).orderBy(
-        "Opportunity_ID",
-        F.desc("overall_win_rate"),
-        "current_workload",
-        "recommended_rep",
-        "Rep_Tenure_Months",
-    )
+    ).orderBy("Opportunity_ID", *best_first)

@@ -54,7 +54,7 @@ def coverage_by_rep(
         .agg(
             F.sum(X.size()).alias("total_pipeline"),
             X.weighted_size().alias("_weighted"),
-            F.sum("Quota_Contribution").alias("quota_target"),
+            X.quota_total(F.col("Quota_Contribution")).alias("quota_target"),
             X.sum_if(X.closes_near(as_of, cfg), X.size()).alias("pipeline_0_30_days"),
             X.sum_if(X.closes_mid(as_of, cfg), X.size()).alias("pipeline_31_90_days"),
         )
@@ -106,7 +106,7 @@ def coverage_by_region(
         .agg(
             F.sum(X.size()).alias("total_pipeline"),
             X.weighted_size().alias("_weighted"),
-            F.sum("Quota_Contribution").alias("total_quota"),
+            X.quota_sum(F.col("Quota_Contribution")).alias("total_quota"),
             X.sum_if(X.closes_near(as_of, cfg), X.size()).alias("pipeline_0_30_days"),
             X.sum_if(X.closes_mid(as_of, cfg), X.size()).alias("pipeline_31_90_days"),
             X.sum_if(X.closes_late(as_of, cfg), X.size()).alias("pipeline_90_plus_days"),
@@ -116,6 +116,7 @@ def coverage_by_region(
         F.count("Sales_Rep").alias("rep_count"),
         *[F.sum(c).alias(c) for c in by_rep.columns if c not in ("Region", "Sales_Rep")],
     )
+    totals = totals.withColumn("total_quota", X.quota_double(F.col("total_quota")))
     return totals.select(
         "Region",
         "rep_count",
@@ -141,7 +142,7 @@ def coverage_health(
         .groupBy(*REP)
         .agg(
             F.sum(X.size()).alias("total_pipeline"),
-            F.sum("Quota_Contribution").alias("quota_target"),
+            X.quota_total(F.col("Quota_Contribution")).alias("quota_target"),
             X.sum_if(X.closes_near(as_of, cfg), X.size()).alias("pipeline_0_30_days"),
             X.sum_if(X.closes_mid(as_of, cfg), X.size()).alias("pipeline_31_90_days"),
         )

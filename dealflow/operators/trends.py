@@ -58,7 +58,9 @@ def ytd_quota_attainment(
         .agg(
             X.sum_if(X.is_won(), X.size()).alias("ytd_won_value"),
             X.sum_if(X.is_lost(), X.size()).alias("ytd_lost_value"),
-            X.sum_if(X.is_won(), F.col("Quota_Contribution")).alias("ytd_quota_contribution"),
+            X.quota_total(F.when(X.is_won(), F.col("Quota_Contribution")).otherwise(0.0)).alias(
+                "ytd_quota_contribution"
+            ),
             X.average(F.when(X.is_won(), X.size())).alias("avg_won_deal_size"),
             X.average(F.when(X.is_lost(), X.size())).alias("avg_lost_deal_size"),
             X.average(F.when(X.is_won(), cycle)).alias("avg_won_cycle_days"),

@@ -22,14 +22,28 @@ def with_lists(
     ``measures`` must be sums or counts. ``lists`` gives per output column the value
     and the separator. The deals are first reduced to one row per key and list value
     by a plain hash aggregate, which runs before the shuffle and never falls back to
-    sorting; only those few rows reach the set-valued aggregate. With ``as_arrays``
-    the lists stay arrays.
+    sorting; only those few rows reach the set-valued aggregate. The first list carries
+    the measures along; each further one is reduced by itself, so that no aggregate holds
+    combinations of two lists. With ``as_arrays`` the lists stay arrays.
     """
-    reduced = df.groupBy(*keys, *[value.alias(n) for n, (value, _) in lists.items()]).agg(
+
+    def combined(name: str, separator: str) -> Column:
+        if as_arrays:
+            return F.array_sort(F.collect_set(name)).alias(name)
+        return concat_distinct(F.col(name), separator).alias(name)
+
+    (first, (value, separator)), *others = lists.items()
+    reduced = df.groupBy(*keys, value.alias(first)).agg(
         *[m.alias(n) for n, m in measures.items()]
     )
-    combined = [
-        (F.array_sort(F.collect_set(n)) if as_arrays else concat_distinct(F.col(n), sep)).alias(n)
-        for n, (_, sep) in lists.items()
-    ]
-    return reduced.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in measures], *combined)
+    totals = [F.sum(n).alias(n) for n in measures]
+    out = reduced.groupBy(*keys).agg(*totals, combined(first, separator))
+    if not others:
+        return out
+    for name, (value, separator) in others:
+        distinct = df.select(*keys, value.alias(name)).where(F.col(name).isNotNull()).distinct()
+        texts = distinct.groupBy(*keys).agg(combined(name, separator))
+        out = out.unionByName(texts, allowMissingColumns=True)
+    # Parts of a group meet without a join, so that NULL keys find each other.
+    names = [*measures, *lists]
+    return out.groupBy(*keys).agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])

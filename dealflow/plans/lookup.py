@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealflow.config import Thresholds
 from dealflow.plans.checkpoint import settled
+from dealflow.plans.rank import largest_group
 
 
 def fits_broadcast(stored: DataFrame, cfg: Thresholds) -> bool:
@@ -25,16 +26,23 @@ def join_lookup(
     spread_by: Column,
     cfg: Thresholds,
     how: str = "inner",
+    order: Sequence[str] = (),
+    parts: int | None = None,
 ) -> DataFrame:
     """Equi-join ``deals`` (``how`` is inner or left) with ``lookup``.
 
     The keys (a stage, a region) have few values, so a shuffle of the deals by them
     would put a large part of all deals into one task. The lookup is an aggregate: it
     is stored, measured, and broadcast while small, which leaves the deals where they
-    are. A larger one is repeated once per salt and joined by key and salt, the salt of
+    are. A larger one is repeated once per salt and merged by key and salt, the salt of
     a deal coming from ``spread_by``; every deal still meets each of its partners once.
+    There are as many salts as it takes to keep the largest key below ``cfg.task_rows``.
+
+    ``order`` names the order of the result: before a broadcast the deals are put into it
+    (in ``parts`` partitions), which makes the final sort a local one. Before a merge, whose
+    shuffle would undo it, they are not. The measuring jobs run at once.
     """
-    return join_stored(deals, settled(lookup), on, spread_by, cfg, how)
+    return join_stored(deals, settled(lookup), on, spread_by, cfg, how, order, parts)
 
 
 def join_stored(
@@ -44,13 +52,18 @@ def join_stored(
     spread_by: Column,
     cfg: Thresholds,
     how: str = "inner",
+    order: Sequence[str] = (),
+    parts: int | None = None,
 ) -> DataFrame:
     """The same for a lookup that is stored already."""
     if fits_broadcast(lookup, cfg):
+        if order:
+            deals = deals.repartitionByRange(*([parts] if parts else []), *order)
         return deals.join(F.broadcast(lookup), list(on), how)
-    salted = deals.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(cfg.salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salts = -(-largest_group(deals, on) // cfg.task_rows) or 1
+    salted = deals.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def pair_partitions(left: DataFrame, right: DataFrame, key: str, cfg: Thresholds) -> int:
@@ -64,4 +77,4 @@ def pair_partitions(left: DataFrame, right: DataFrame, key: str, cfg: Thresholds
     product = F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")
     pairs = int(counts.agg(F.sum(product.cast("decimal(38,0)"))).first()[0] or 0)
     usual = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(usual, min(cfg.max_partitions, -(-pairs // cfg.task_rows)))
+    return max(usual, -(-pairs // cfg.task_rows))

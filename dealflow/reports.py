@@ -53,8 +53,10 @@ REPORTS: dict[str, Report] = {
         automation.loss_patterns,
         automation.coaching_prompts,
         automation.week_created,
+        automation.week_created_deals,
         automation.week_closed,
         automation.week_stalled,
+        automation.week_stalled_deals,
         automation.weekly_digest,
         automation.rep_capability,
         automation.deal_rep_matches,

@@ -10,6 +10,8 @@ SETTINGS = {
     # Run-time partition sizes, and large partitions of a shuffle join split.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Lookups and queues are checkpointed; files of those no longer in use are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # The JVM never compiles methods above 8000 bytes; below that Spark splits them.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dealflow.sources.readers import BLANK_STATUS
 
 
 def write_deals(deals: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store typed deals as Parquet, one folder per status.
+    """Store typed deals as Parquet, one folder per status, clustered by date across files.
 
-    Most reports want one status only and then read its folder alone. Within a task the
-    rows are sorted by closing date, so that row groups outside the report year are
-    skipped. Rows stay in their tasks: a status with most deals makes no large partition.
+    Most reports want one status only and then read its folder alone. The rows are spread by
+    ranges of status, closing date and creation date, so a file holds a short span of time and
+    a date filter skips whole files; open deals, which have no closing date, are in order of
+    creation. Ranges end in the id, so a day with most deals is cut as well. A folder cannot be
+    named after the empty text; that status has a name of its own on disk.
     """
+    order = ["Deal_Status", "Close_Date", "Created_Date", "Opportunity_ID"]
+    status = F.when(F.col("Deal_Status") == "", BLANK_STATUS).otherwise(F.col("Deal_Status"))
     (
-        deals.sortWithinPartitions("Deal_Status", "Close_Date")
+        deals.withColumn("Deal_Status", status)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.partitionBy("Deal_Status")
         .mode(mode)
         .parquet(path)

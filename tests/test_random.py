@@ -48,7 +48,7 @@ def deal(pick: random.Random, n: int) -> tuple:
         "Lead_Source": one(None, "Web", "Event"),
         "Forecast_Category": one(None, "Commit", "Best Case", "Upside", "Pipeline", "Omit"),
         "Deal_Type": one(None, "Upsell", "Renewal"),
-        "Quota_Contribution": one(None, 0.0, 8.0, 1_000_000.0),
+        "Quota_Contribution": one(None, 0.0, 0.1, 8.0, 1234.56, 999_999.99),
         "Reason_Lost": one(None, "", "Price", "Timing"),
         "Competitor_Name": one(None, "", "Acme", "Globex"),
         "Campaign_Name": one(None, "", "C1", "C2"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import re
 
 import pytest
 from conftest import DAY, TESTDATA, plan, rows
@@ -13,10 +14,9 @@ from checks.deals_view import deals as view
 from dealflow.config import DEFAULTS
 from dealflow.operators import automation as A
 from dealflow.plans import join_lookup, listed, numbered, pair_partitions
-from dealflow.plans.textlist import PART
 
 SPLIT = dataclasses.replace(DEFAULTS, task_rows=20)
-SALTED = dataclasses.replace(DEFAULTS, broadcast_rows=0, salts=7)
+SALTED = dataclasses.replace(DEFAULTS, broadcast_rows=0, task_rows=100)
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,17 @@ def test_salted_lookup_equals_broadcast(skewed, report):
     salted, small = report(skewed, DAY, SALTED), report(skewed, DAY)
     assert "BroadcastHashJoin" in plan(small)
     assert salted.collect() == small.collect()
-    assert "_salt" in plan(salted)
+    text = plan(salted)
+    assert re.search(r"SortMergeJoin \[.*_salt", text)
+    assert not re.search(r"BroadcastHashJoin \[.*(Stage|Region|Lead_Source)", text)
+
+
+def test_salts_follow_the_largest_key(spark):
+    deals = spark.range(1000).selectExpr("id", "if(id < 900, 'hot', 'cold') k")
+    lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    joined = join_lookup(deals, lookup, ["k"], F.col("id"), SALTED)
+    assert "pmod(xxhash64(id" in plan(joined) and ", 9)" in plan(joined)
+    assert sorted(r.v for r in joined.collect()) == [1] * 900 + [2] * 100
 
 
 def test_lookup_limit_on_text(spark):
@@ -55,8 +65,6 @@ def test_partitions_follow_the_number_of_pairs(spark):
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert pair_partitions(left, right, "k", DEFAULTS) == usual
     assert pair_partitions(left, right, "k", SPLIT) == 16  # 305 pairs, 20 to a task
-    few = dataclasses.replace(SPLIT, max_partitions=9)
-    assert pair_partitions(left, right, "k", few) == 9
 
 
 def test_split_ranking_equals_window(skewed):
@@ -76,42 +84,73 @@ def test_split_ranking_cuts_the_hot_group(spark):
 
 
 @pytest.mark.parametrize("report", [A.week_created, A.week_stalled])
-def test_long_lists_go_on_in_further_rows(skewed, report):
-    usual = rows(report(skewed, DAY))
-    name = "new_deals" if report is A.week_created else "stalled_deals"
-    separator = ", " if report is A.week_created else "; "
-    cfg = dataclasses.replace(SPLIT, list_items=3, task_rows=2)
-    parts = rows(report(skewed, DAY, cfg))
-    assert len(parts) > len(usual)
-
-    measures = [c for c in usual[0] if c not in ("Sales_Rep", "Region", name)]
-    totals = [p for p in parts if p[measures[0]] is not None]
-    assert [{**t, name: None} for t in totals] == [{**u, name: None} for u in usual]
-    joined: dict = {}
-    for p in parts:
-        items = p[name].split(separator)
-        assert len(items) <= 3
-        joined.setdefault((p["Sales_Rep"], p["Region"]), []).extend(items)
-    assert {k: separator.join(v) for k, v in joined.items()} == {
-        (u["Sales_Rep"], u["Region"]): u[name] for u in usual
-    }
-
-
-def test_long_texts_go_on_in_further_rows(make):
-    deals = make(*[{"Opportunity_Name": c * 30, "Deal_Size": 1} for c in "cab"])
-    cfg = dataclasses.replace(DEFAULTS, list_chars=70)
-    result = listed(
-        deals, ["Region"], {"n": F.count("*")}, "l", F.col("Opportunity_Name"), ", ", cfg
-    )
-    got = [(r.n, r.l) for r in result.orderBy(PART).collect()]
-    assert got == [(3, f"{'a' * 30}, {'b' * 30}"), (None, "c" * 30)]
+@pytest.mark.parametrize("task_rows", [1, 2, 7])
+def test_long_lists_stay_in_one_row(skewed, report, task_rows):
+    cfg = dataclasses.replace(DEFAULTS, task_rows=task_rows)
+    assert rows(report(skewed, DAY, cfg)) == rows(report(skewed, DAY))
+
+
+@pytest.mark.parametrize("task_rows", [3, 100])
+def test_other_groups_do_not_change_a_row(make, task_rows):
+    cfg = dataclasses.replace(DEFAULTS, task_rows=task_rows)
+    bob = [{"Sales_Rep": "Bob", "Opportunity_Name": f"B{i}", "Deal_Size": i} for i in range(5)]
+    ann = [{"Sales_Rep": "Ann", "Opportunity_Name": "x" * 500} for _ in range(50)]
+
+    def of_bob(*deals):
+        made = listed(make(*deals), ["Sales_Rep"], {"n": F.count("*")}, "l", F.col("Opportunity_Name"), ", ", cfg)
+        return [tuple(r) for r in made.where("Sales_Rep = 'Bob'").collect()]
+
+    assert of_bob(*bob) == of_bob(*bob, *ann) == [("Bob", 5, "B4, B3, B2, B1, B0")]
+
+
+def test_a_list_that_no_cell_holds_is_named(make):
+    deals = make(*[{"Opportunity_Name": "c" * 30, "Region": "North"}] * 3)
+    with pytest.raises(ValueError, match="North"):
+        listed(deals, ["Region"], {"n": F.count("*")}, "l", F.col("Opportunity_Name"), ", ",
+               DEFAULTS, cell_bytes=90)
 
 
 def test_list_of_nulls_stays_null_in_both_ways(make):
     deals = make(*[{"Opportunity_Name": None}] * 3)
-    for cfg in (DEFAULTS, dataclasses.replace(DEFAULTS, list_items=2)):
+    for cfg in (DEFAULTS, dataclasses.replace(DEFAULTS, task_rows=2)):
         result = listed(
             deals, ["Region"], {"n": F.count("*")}, "l", F.col("Opportunity_Name"), ",", cfg
         )
-        first = result.orderBy(PART).first()
-        assert (first.n, first.l) == (3, None)
+        (only,) = result.collect()
+        assert (only.n, only.l) == (3, None)
+
+
+def test_long_form_has_every_deal_of_the_lists(skewed):
+    for lists, deals, n in (
+        (A.week_created, A.week_created_deals, "deals_created_this_week"),
+        (A.week_stalled, A.week_stalled_deals, "newly_stalled"),
+    ):
+        counts = {(r["Sales_Rep"], r["Region"]): r[n] for r in rows(lists(skewed, DAY))}
+        places: dict = {}
+        for r in rows(deals(skewed, DAY)):
+            places.setdefault((r["Sales_Rep"], r["Region"]), []).append(r["position"])
+        assert {k: len(v) for k, v in places.items()} == counts
+        assert all(v == list(range(1, len(v) + 1)) for v in places.values())
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7, 16])
+def test_quota_sums_do_not_hang_on_the_order(spark, make, partitions):
+    from dealflow.functions import exprs as X
+
+    quotas = spark.range(12_000).select((F.xxhash64("id") % 100_000_000 / 1e5).alias("q"))
+    shuffled = quotas.repartition(partitions, F.rand(partitions))
+    exact = sum(int(round(r.q * 10**10)) for r in quotas.collect())
+    assert shuffled.agg(X.quota_total(F.col("q"))).first()[0] == exact / 10**10
+
+
+def test_candidates_can_be_limited(skewed):
+    every = rows(A.deal_rep_matches(skewed, DAY))
+    seen: dict = {}
+    best = []
+    for r in every:
+        seen[r["Opportunity_ID"]] = seen.get(r["Opportunity_ID"], 0) + 1
+        if seen[r["Opportunity_ID"]] <= 2:
+            best.append(r)
+    cfg = dataclasses.replace(DEFAULTS, match_candidates=2)
+    assert rows(A.deal_rep_matches(skewed, DAY, cfg)) == best
+    assert rows(A.deal_rep_matches(skewed, DAY, dataclasses.replace(SALTED, match_candidates=2))) == best

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-import zlib
 
+import duckdb
+import pyarrow.parquet as pq
 import pytest
 from conftest import DAY, TESTDATA, rows
 from pyspark.sql import types as T
 
 from checks.deals_view import deals, deals_raw
 from dealflow.__main__ import main
+from dealflow.operators import announced
 from dealflow.operators import coverage as P
 from dealflow.schema import DEALS_SCHEMA, RAW_SCHEMA
 from dealflow.sources import ingest, read_deals, read_raw, write_deals, write_report
-from dealflow.sources.readers import hash_slices
+from dealflow.sources.readers import range_slices
 
 FOLDER = str(TESTDATA / "sf0.001")
 
@@ -114,11 +116,55 @@ def test_normalised_labels(spark):
     assert ingest(raw).first().Deal_Status == " open "
 
 
-def test_hash_slices_cover_every_key_once():
-    parts = hash_slices("Opportunity_ID", 4)
-    assert len(set(parts)) == 4
-    assert parts[3] == "MOD(CRC32(COALESCE(Opportunity_ID, '')), 4) = 3"
-    assert {zlib.crc32(f"OPP-{i}".encode()) % 4 for i in range(100)} == set(range(4))
+def test_range_slices_cover_every_key_once():
+    assert range_slices("k", []) == ["1 = 1"]
+    parts = range_slices("k", sorted(["OPP-2", "OPP-5", "O'x"]))
+    keys = [None, "", "A", "OPP-1", "OPP-2", "OPP-3", "OPP-5", "Z"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(k,) for k in keys])
+    found = [con.sql(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in parts]
+    assert len(parts) == 4 and sum(found) == len(keys)
+
+
+def test_empty_status_survives_storing(spark, make, tmp_path):
+    fresh = make(
+        *[{"Deal_Status": s} for s in ("Open", "", None, "Won", "")]
+    )
+    path = str(tmp_path / "deals")
+    write_deals(fresh, path)
+    again = read_deals(spark, path)
+    assert rows(announced.pipeline_by_stage(again, DAY)) == rows(announced.pipeline_by_stage(fresh, DAY))
+    assert again.where("Deal_Status = ''").count() == 2 and again.where("Deal_Status IS NULL").count() == 1
+
+
+def test_a_week_is_in_few_files(spark, tmp_path):
+    """Files hold short spans of closing dates (open deals: of creation), for filters to skip."""
+    path = tmp_path / "deals"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        write_deals(deals(spark, "/root/testdata/sf0.01"), str(path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def spans(status: str, column: str) -> list:
+        out = []
+        for file in path.glob(f"Deal_Status={status}/*.parquet"):
+            meta = pq.read_metadata(file)
+            at = meta.schema.names.index(column)
+            for i in range(meta.num_row_groups):
+                stats = meta.row_group(i).column(at).statistics
+                if stats.has_min_max:
+                    out.append((stats.min, stats.max))
+        return out
+
+    for status, column in (("Won", "Close_Date"), ("Open", "Created_Date")):
+        found = spans(status, column)
+        middle = sorted(low for low, _ in found)[len(found) // 2]
+        week = [1 for low, high in found if low <= middle + dt.timedelta(days=6) and high >= middle]
+        assert len(found) >= 6 and len(week) <= 3
 
 
 def test_reports_are_written(spark, stored, tmp_path):
@@ -140,7 +186,11 @@ def test_command_line(spark, tmp_path, capsys):
     expected = P.coverage_health(read_deals(spark, typed), DAY).count()
     assert spark.read.parquet(f"{out}/coverage_health").count() == expected
     assert spark.read.parquet(f"{out}/week_closed").count() > 0
-    main(["report", "coverage_by_region", "--deals", typed, "--as-of", "2001-07-18"])
-    assert "region_coverage_ratio" in capsys.readouterr().out
+    main(["report", "stuck_deals", "--deals", typed, "--as-of", "2001-07-18"])
+    lines = capsys.readouterr().out.splitlines()
+    stuck = announced.stuck_deals(read_deals(spark, typed), DAY).count()
+    assert "Days_in_Stage" in lines[0] and len(lines) == stuck + 1 > 21
+    main(["report", "stuck_deals", "--deals", typed, "--as-of", "2001-07-18", "--rows", "5"])
+    assert len(capsys.readouterr().out.splitlines()) == 6
     with pytest.raises(SystemExit):
         main(["report", "nothing", "--deals", typed])
