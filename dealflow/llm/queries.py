@@ -70,7 +70,9 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return mixing.mix(docs, quality(table(spark, folder, "labels")))
+    mix = mixing.mix(docs, quality(table(spark, folder, "labels")))
+    first = ["doc_id", "size", "source_size", "target", "taken"]
+    return mix.select(*first, *[c for c in mix.columns if c not in first])
 
 
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
