@@ -29,7 +29,7 @@ CHUNK = 2 << 20
 class Settings:
     """``terms`` hashed words, ``rank`` directions from ``rank + extra`` random ones.
 
-    Documents are read in steps of ``step`` words and passages of 2, 4 and 8 steps; an item is
+    Documents are read in steps of ``step`` words and passages of 1, 2, 4 and 8 steps; an item is
     compared with passages of the longest such size that is not above its own. Terms in more than
     ``common`` of the passages say little and weigh a hundredth. A candidate has at least
     ``cosine``; it counts if the longest common subsequence has ``share`` of the item's
@@ -42,9 +42,9 @@ class Settings:
     rank: int = 56
     extra: int = 8
     step: int = 8
-    sizes: tuple[int, ...] = (2, 4, 8)
+    sizes: tuple[int, ...] = (1, 2, 4, 8)
     common: float = 0.02
-    cosine: float = 0.6
+    cosine: float = 0.5
     share: float = 0.6
     short: int = 8
     block: int = 4096
@@ -116,8 +116,11 @@ def frequencies(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
             if not len(starts):
                 continue
             passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(hashes)]))
-            pairs = np.unique(passage * settings.terms + term(hashes, settings))
-            total += np.bincount(pairs % settings.terms, minlength=settings.terms)
+            terms = term(hashes, settings)
+            order = np.argsort(terms.astype(np.min_scalar_type(settings.terms)), kind="stable")
+            terms, passage = terms[order], passage[order]
+            new = np.r_[True, (terms[1:] != terms[:-1]) | (passage[1:] != passage[:-1])]
+            total += np.bincount(terms[new], minlength=settings.terms)
             passages += len(starts)
         at = np.flatnonzero(total)
         yield pa.record_batch(
@@ -310,7 +313,7 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     for size, (places, vectors) in items.groups.items():
         # Every second half of a passage starts one; the last of a text are shorter.
         first = np.arange(len(starts))
-        first = first[(first - begin) % (size // 2) == 0]
+        first = first[(first - begin) % max(1, size // 2) == 0]
         last = np.minimum(first + size, end[first])
         passages = unit((total[last] - total[first]).astype(np.float32))
         for at in range(0, len(passages), 8192):
