@@ -316,9 +316,13 @@ def components(
         roots = connect(links.union(more))
 
     placed = classes.select("k", "rep").join(roots, "k", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "k"))
-    least = placed.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
-    placed = placed.join(least, "root").select("k", "component_id")
+    placed = stored(
+        placed.select("k", F.coalesce("root", "k").alias("root"), F.col("rep.doc_id").alias("id")),
+        "placed",
+    )
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    placed = joined(placed, stored(least, "components"), "root", "n", placed.count())
+    placed = placed.select("k", "component_id")
     blank = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = own.drop("sig").join(placed, "k", "left")
     component = F.when(blank, F.col("doc_id")).otherwise(F.col("component_id"))
