@@ -4,8 +4,10 @@ Passages of all documents are TF-IDF vectors over hashed words. A distributed ra
 their dominant directions: with a random matrix W, each task adds up A^T (A W) over its passages,
 and the sum gives singular vectors and values by the Nystrom formula. Passages and benchmark items
 are compared by cosine in that space, each direction scaled by its singular value, so that common
-words do not make everything alike. Candidates are verified on words: the longest common
-subsequence with the item, and with its answer.
+words do not make everything alike. All this counts a passage once, however many copies of it there
+are. Items that stand in a text word for word are candidates whatever their cosine; they are found
+by hashes of runs of words. Candidates are verified on words: the longest common subsequence with
+the item, and with its answer.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import chunks, columns
-from dealflow.llm.shingles import words
+from dealflow.llm.common import chunks, columns, stored
+from dealflow.llm.shingles import prefix_sums, run_hashes, words
 
 CHUNK = 2 << 20
 
@@ -31,8 +33,9 @@ class Settings:
 
     Documents are read in steps of ``step`` words and passages of 1, 2, 4 and 8 steps; an item is
     compared with passages of the longest such size that is not above its own. Terms in more than
-    ``common`` of the passages say little and weigh a hundredth. A candidate has at least
-    ``cosine``; it counts if the longest common subsequence has ``share`` of the item's
+    ``common`` of the different passages do not count as rare when candidates are ruled out. A
+    candidate has at least ``cosine``, or the item word for word; it counts if the longest common
+    subsequence has ``share`` of the item's
     words (all of them below ``short`` words) and of the answer's. The answer is that of the
     benchmark or, if it has none, the last quarter of the item. Items are searched in blocks of
     about ``block``, each with a pass over the documents.
@@ -104,19 +107,50 @@ class Space:
     rare: np.ndarray
 
 
-def frequencies(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
-    """Passages that hold each term, and passages, over all of ``docs`` (text)."""
+def different_passages(docs: DataFrame, settings: Settings) -> DataFrame:
+    """The terms of each different passage of ``docs`` (text), stored."""
     size = settings.step * settings.sizes[-1]
+    kind = np.min_scalar_type(settings.terms - 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros(settings.terms, np.int64), 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in parts(batches):
             hashes, counts = words(texts)
             starts, _ = steps(counts, size)
             if not len(starts):
                 continue
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(hashes)]))
-            terms = term(hashes, settings)
+            ends = np.r_[starts[1:], len(hashes)]
+            keys, one = np.unique(run_hashes(prefix_sums(hashes), starts, ends), return_index=True)
+            lengths = (ends - starts)[one]
+            offsets = np.r_[0, np.cumsum(lengths)]
+            at = np.arange(offsets[-1]) + np.repeat(starts[one] - offsets[:-1], lengths)
+            data = term(hashes[at], settings).astype(kind)
+            places = pa.py_buffer((offsets * kind.itemsize).astype(np.int32))
+            cells = pa.Array.from_buffers(pa.binary(), len(one), [None, places, pa.py_buffer(data)])
+            yield pa.record_batch({"hash": pa.array(keys.view(np.int64)), "terms": cells})
+
+    found = docs.mapInArrow(cut, "hash long, terms binary").dropDuplicates(["hash"])
+    return stored(found.select("terms"), "passages")
+
+
+def term_lists(
+    batches: Iterator[pa.RecordBatch], settings: Settings
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The terms of the passages of each batch, one after the other, and where each one starts."""
+    kind = np.min_scalar_type(settings.terms - 1)
+    for batch in batches:
+        if batch.num_rows:
+            cells = batch.column("terms").to_pylist()
+            lengths = np.array([len(c) for c in cells]) // kind.itemsize
+            yield np.frombuffer(b"".join(cells), kind).astype(np.int64), np.cumsum(lengths) - lengths
+
+
+def frequencies(passages: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
+    """Passages that hold each term, and passages, over all of ``passages`` (terms)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, passages = np.zeros(settings.terms, np.int64), 0
+        for terms, starts in term_lists(batches, settings):
+            passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(terms)]))
             order = np.argsort(terms.astype(np.min_scalar_type(settings.terms)), kind="stable")
             terms, passage = terms[order], passage[order]
             new = np.r_[True, (terms[1:] != terms[:-1]) | (passage[1:] != passage[:-1])]
@@ -127,7 +161,7 @@ def frequencies(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
             {"term": pa.array(np.r_[-1, at]), "n": pa.array(np.r_[passages, total[at]])}
         )
 
-    found = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = passages.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(settings.terms, np.int64)
     passages = 0
     for at, n in found.collect():
@@ -141,17 +175,17 @@ def frequencies(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> Space | None:
     """The space of all passages of ``docs``; None without any word.
 
-    Two passes over the texts. A task sends one matrix of terms x directions, cut into rows of
-    256 terms; the driver gets the sum of them, whose size is fixed by the settings.
+    One pass over the texts, two over their different passages. A task sends one matrix of terms x
+    directions, cut into rows of 256 terms; the driver gets the sum of them, whose size is fixed by
+    the settings.
     """
-    docs = columns(docs, text=text)
-    held, passages = frequencies(docs, settings)
+    table = different_passages(columns(docs, text=text), settings)
+    held, passages = frequencies(table, settings)
     if not passages:
         return None
     rare = held <= settings.common * passages
-    weight = np.log((1 + passages) / (1 + held)).astype(np.float32) * np.where(rare, 1, 0.01)
-    weight = weight.astype(np.float32)
-    size, width, rows = settings.step * settings.sizes[-1], settings.rank + settings.extra, 256
+    weight = np.log((1 + passages) / (1 + held)).astype(np.float32)
+    width, rows = settings.rank + settings.extra, 256
     noise = np.random.default_rng(settings.seed).standard_normal((settings.terms, width))
     noise = noise.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((weight, weight[:, None] * noise))
@@ -159,13 +193,8 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, weighted = shared.value
         total = np.zeros((settings.terms, width), np.float32)
-        for _, texts in parts(batches):
-            hashes, counts = words(texts)
-            starts, _ = steps(counts, size)
-            if not len(starts):
-                continue
-            terms = term(hashes, settings)
-            ends = np.r_[starts[1:], len(hashes)]
+        for terms, starts in term_lists(batches, settings):
+            ends = np.r_[starts[1:], len(terms)]
             passage = np.repeat(np.arange(len(starts)), ends - starts)
             out = segment_sums(weighted, terms, starts, ends)
             order = np.argsort(terms.astype(np.min_scalar_type(settings.terms)), kind="stable")
@@ -194,7 +223,7 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
             }
         )
 
-    made = docs.mapInArrow(multiply, "block long, sums binary")
+    made = table.mapInArrow(multiply, "block long, sums binary")
     made = made.repartition(max(1, settings.terms // rows), "block").mapInArrow(add, "block long, sums binary")
     product = np.zeros((settings.terms, width))
     for block, own in made.collect():
@@ -215,7 +244,9 @@ class Items:
     """Items of a block: ids, words, answers, and per passage size the places and vectors.
 
     ``sorted`` has the different words of an item and its answer. ``needs`` has the words that must be common, and how many of them rare ones. ``at`` and
-    ``by_term`` list the items that hold each rare term.
+    ``by_term`` list the items that hold each rare term. ``whole`` has a hash of all words of each
+    item; ``begins`` has, per power of two, sorted hashes of the first so many words of the items
+    with less than twice as many, those items, and the leading bits that occur.
     """
 
     ids: list[int]
@@ -226,6 +257,8 @@ class Items:
     needs: np.ndarray
     at: np.ndarray
     by_term: np.ndarray
+    whole: np.ndarray
+    begins: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -261,7 +294,50 @@ def prepared(rows: list[tuple[int, str, str | None]], space: Space, settings: Se
     at = np.searchsorted([t for t, _ in held], np.arange(settings.terms + 1))
     by_term = np.array([i for _, i in held], np.int64)
     known = [np.unique(np.array([*w, *a], np.uint64)) for w, a in zip(own, answers, strict=True)]
-    return Items(ids, own, answers, groups, known, np.array(needs).reshape(-1, 2), at, by_term)
+    needs = np.array(needs).reshape(-1, 2)
+    return Items(ids, own, answers, groups, known, needs, at, by_term, *run_index(own))
+
+
+def run_index(texts: list[list[int]]):
+    """``whole`` and ``begins`` of ``Items``."""
+    whole = np.zeros(len(texts), np.uint64)
+    listed: dict[int, list[tuple[int, int]]] = {}
+    for i, own in enumerate(texts):
+        sums = prefix_sums(np.array(own, np.uint64))
+        whole[i] = run_hashes(sums, [0], [len(own)])[0]
+        size = 1 << len(own).bit_length() - 1
+        listed.setdefault(size, []).append((int(run_hashes(sums, [0], [size])[0]), i))
+    begins = {}
+    for size, pairs in listed.items():
+        pairs.sort()
+        keys = np.array([k for k, _ in pairs], np.uint64)
+        leading = np.zeros(1 << 18, bool)
+        leading[keys >> np.uint64(46)] = True
+        begins[size] = keys, np.array([i for _, i in pairs]), leading
+    return whole, begins
+
+
+def verbatim(hashes: np.ndarray, counts: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(text, item, word) of each place where an item stands word for word."""
+    sums = prefix_sums(hashes)
+    word_end = np.cumsum(counts)
+    lengths = np.array([len(w) for w in items.words])
+    for size, (keys, who, leading) in items.begins.items():
+        n = len(hashes) - size + 1
+        if n <= 0:
+            continue
+        own = run_hashes(sums, slice(0, n), slice(size, None))
+        at = np.flatnonzero(leading[own >> np.uint64(46)])
+        low = np.searchsorted(keys, own[at])
+        n = np.searchsorted(keys, own[at], side="right") - low
+        begin = np.repeat(at, n)
+        item = who[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        end = begin + lengths[item]
+        text = np.searchsorted(word_end, begin, side="right")
+        inside = end <= word_end[text]
+        begin, end, item, text = begin[inside], end[inside], item[inside], text[inside]
+        same = run_hashes(sums, begin, end) == items.whole[item]
+        yield from zip(text[same].tolist(), item[same].tolist(), begin[same].tolist(), strict=True)
 
 
 def common(a: list[int], b: list[int]) -> int:
@@ -309,7 +385,27 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     margin = np.array([len(w) for w in items.words]) - sizes * 3 // 4
     margin = np.maximum(margin, settings.step)
     reach = -(-margin // settings.step)
+    def shared_words(item: int, left: int, right: int) -> int:
+        """Common words of the item and these of the text, 0 if they or the answer's are too few."""
+        own, answer, known = items.words[item], items.answers[item], items.sorted[item]
+        region = hashes[left:right]
+        at_known = np.minimum(np.searchsorted(known, region), len(known) - 1)
+        region = region[known[at_known] == region].tolist()
+        if len(region) < items.needs[item, 0]:
+            return 0
+        shared = common(own, region)
+        if shared < items.needs[item, 0]:
+            return 0
+        return shared if common(answer, region) >= settings.share * len(answer) else 0
+
     out = {}
+    for t, i, first in verbatim(hashes, counts, items):
+        if (t, i) not in out:
+            begin_word, around = int(word_end[t] - counts[t]), int(reach[i]) * settings.step
+            right = min(first + len(items.words[i]) + around, int(word_end[t]))
+            shared = shared_words(i, max(first - around, begin_word), right)
+            if shared:
+                out[t, i] = (1.0, shared, first - begin_word)
     for size, (places, vectors) in items.groups.items():
         # Every second half of a passage starts one; the last of a text are shorter.
         first = np.arange(len(starts))
@@ -319,7 +415,7 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
         for at in range(0, len(passages), 8192):
             near = passages[at : at + 8192] @ vectors
             p, j = np.nonzero(near >= settings.cosine)
-            cosine, step, item = near[p, j], first[at + p], places[j]
+            cosine, step, item = np.minimum(near[p, j], 1), first[at + p], places[j]
             # Too few rare words around rule a candidate out before its words are aligned.
             low = np.maximum(step - reach[item], begin[step])
             high = np.minimum(step + size + reach[item], end[step])
@@ -330,21 +426,12 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
                 pair = (int(text[s]), i)
                 if c <= out.get(pair, (0.0,))[0]:
                     continue
-                own, answer = items.words[i], items.answers[i]
                 begin_word = int(word_end[pair[0]] - counts[pair[0]])
                 around = int(reach[i]) * settings.step
                 left = max(int(starts[s]) - around, begin_word)
                 right = min(int(starts[s]) + size * settings.step + around, int(word_end[pair[0]]))
-                region = hashes[left:right]
-                known = items.sorted[i]
-                at_known = np.minimum(np.searchsorted(known, region), len(known) - 1)
-                region = region[known[at_known] == region].tolist()
-                if len(region) < items.needs[i, 0]:
-                    continue
-                shared = common(own, region)
-                if shared < items.needs[i, 0]:
-                    continue
-                if common(answer, region) >= settings.share * len(answer):
+                shared = shared_words(i, left, right)
+                if shared:
                     out[pair] = (c, shared, int(starts[s]) - begin_word)
     return [(*pair, *facts) for pair, facts in out.items()]
 

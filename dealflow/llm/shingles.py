@@ -14,6 +14,7 @@ for _first, _end in ((48, 58), (97, 123), (128, 256)):
 _random = np.random.default_rng(2024)
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 POWER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,6 +31,21 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``run_hashes`` needs of a sequence of 64-bit hashes."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes) * powers(len(hashes))[: len(hashes)], out=total[1:])
+    back = np.full(len(hashes) + 1, INVERSE, np.uint64)
+    back[0] = 1
+    return total, np.multiply.accumulate(back)
+
+
+def run_hashes(sums: tuple[np.ndarray, np.ndarray], first, end) -> np.ndarray:
+    """Hash of each run [first, end) of the sequence, the same wherever the run stands."""
+    total, back = sums
+    return (total[end] - total[first]) * back[first]
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """Bytes with A to Z in lower case."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)

@@ -104,3 +104,24 @@ def test_space_keeps_the_dominant_directions(spark):
     exact = np.linalg.svd(matrix, full_matrices=False)[2][:4]
     basis = np.linalg.qr(space.vectors / np.maximum(np.log((1 + len(rows)) / (1 + held)), 1e-9)[:, None])[0]
     assert (np.linalg.norm(exact @ basis, axis=1) > 0.9).all()
+
+
+def test_items_of_a_hot_group_of_copies(spark):
+    """A third of the rows are copies with an item; it is found in the other documents too."""
+    item = prose(24, 300)
+    rows = [(i, f"{prose(30, 301)} {item} {prose(30, 302)}") for i in range(60)]
+    rows += [(100 + i, f"{prose(20 + i, 400 + i)} {item} {prose(90, 500 + i)}") for i in range(40)]
+    rows += [(200 + i, prose(150, 600 + i)) for i in range(80)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id for r in dc.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {d for d, _ in rows if d < 200}
+    loose = " ".join(w for i, w in enumerate(item.split()) if i % 8)
+    near = [(d, t.replace(item, loose) if d >= 100 else t) for d, t in rows]
+    got = {r.doc_id for r in dc.contaminated(frame(spark, near), bench).collect()}
+    assert got == {d for d, _ in rows if d < 200}
+
+
+def test_passages_count_once(spark):
+    rows = [(i, prose(200, 1)) for i in range(50)] + [(99, prose(64, 2))]
+    held, passages = dc.frequencies(dc.different_passages(frame(spark, rows), dc.Settings()), dc.Settings())
+    assert passages == 5 and held.max() <= 5
