@@ -31,10 +31,11 @@ CHUNK = 2 << 20
 class Settings:
     """``terms`` hashed words, ``rank`` directions from ``rank + extra`` random ones.
 
-    Documents are read in steps of ``step`` words and passages of 1, 2, 4 and 8 steps; an item is
-    compared with passages of the longest such size that is not above its own. Terms in more than
+    Documents are read in steps of ``step`` words and passages of 2, 4, 8 and 16 steps; an
+    item is compared with passages of the longest such size that is not above its own. Terms in more than
     ``common`` of the different passages do not count as rare when candidates are ruled out. A
-    candidate has at least ``cosine``, or the item word for word; it counts if the longest common
+    candidate has at least ``cosine`` (``short_cosine`` for items of less than two of the smallest
+    passages, as a passage may lie half outside them), or the item word for word; it counts if the longest common
     subsequence has ``share`` of the item's
     words (all of them below ``short`` words) and of the answer's. The answer is that of the
     benchmark or, if it has none, the last quarter of the item. Items are searched in blocks of
@@ -44,10 +45,11 @@ class Settings:
     terms: int = 1 << 15
     rank: int = 56
     extra: int = 8
-    step: int = 8
-    sizes: tuple[int, ...] = (1, 2, 4, 8)
+    step: int = 4
+    sizes: tuple[int, ...] = (2, 4, 8, 16)
     common: float = 0.02
     cosine: float = 0.5
+    short_cosine: float = 0.25
     share: float = 0.6
     short: int = 8
     block: int = 4096
@@ -383,8 +385,8 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     for size, (places, _) in items.groups.items():
         sizes[places] = size * settings.step
     margin = np.array([len(w) for w in items.words]) - sizes * 3 // 4
-    margin = np.maximum(margin, settings.step)
-    reach = -(-margin // settings.step)
+    least = settings.sizes[0] * settings.step
+    reach = -(-np.maximum(margin, 1) // least) * settings.sizes[0]
     def shared_words(item: int, left: int, right: int) -> int:
         """Common words of the item and these of the text, 0 if they or the answer's are too few."""
         own, answer, known = items.words[item], items.answers[item], items.sorted[item]
@@ -411,10 +413,11 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
         first = np.arange(len(starts))
         first = first[(first - begin) % max(1, size // 2) == 0]
         last = np.minimum(first + size, end[first])
+        bound = settings.short_cosine if size == settings.sizes[0] else settings.cosine
         passages = unit((total[last] - total[first]).astype(np.float32))
         for at in range(0, len(passages), 8192):
             near = passages[at : at + 8192] @ vectors
-            p, j = np.nonzero(near >= settings.cosine)
+            p, j = np.nonzero(near >= bound)
             cosine, step, item = np.minimum(near[p, j], 1), first[at + p], places[j]
             # Too few rare words around rule a candidate out before its words are aligned.
             low = np.maximum(step - reach[item], begin[step])

@@ -125,3 +125,19 @@ def test_passages_count_once(spark):
     rows = [(i, prose(200, 1)) for i in range(50)] + [(99, prose(64, 2))]
     held, passages = dc.frequencies(dc.different_passages(frame(spark, rows), dc.Settings()), dc.Settings())
     assert passages == 5 and held.max() <= 5
+
+
+def test_short_items_at_every_offset(spark):
+    """Items of 3 to 15 words, word for word at 16 offsets each; of 9 words on, also without one."""
+    items = {n: prose(n, 700 + n).split() for n in range(3, 16)}
+    rows, want = [(10_000 + i, prose(150, 800 + i)) for i in range(60)], set()
+    for n, item in items.items():
+        for offset in range(16):
+            for loose in range(1 + (n > 8)):
+                d = 1000 * loose + 20 * n + offset
+                own = [w for i, w in enumerate(item) if not (loose and i == 1)]
+                rows.append((d, f"{prose(20 + offset, d)} {' '.join(own)} {prose(60, 5000 + d)}"))
+                want.add((d, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(frame(spark, rows), bench).collect()}
+    assert got == want
