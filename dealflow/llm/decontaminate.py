@@ -186,7 +186,8 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
     if not passages:
         return None
     rare = held <= settings.common * passages
-    weight = np.log((1 + passages) / (1 + held)).astype(np.float32)
+    # Little, but not nothing, for terms of all passages.
+    weight = np.log((1 + passages) / np.minimum(1 + held, 0.5 + passages)).astype(np.float32)
     width, rows = settings.rank + settings.extra, 256
     noise = np.random.default_rng(settings.seed).standard_normal((settings.terms, width))
     noise = noise.astype(np.float32)
@@ -233,7 +234,9 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
     # Nystrom: A^T A is about Z (W^T Z)^-1 Z^T with Z = A^T A W.
     core = noise.T.astype(np.float64) @ product
     values, turns = np.linalg.eigh((core + core.T) / 2)
-    good = values > values.max() * 1e-9
+    good = values > max(values.max() * 1e-9, 0)
+    if not good.any():
+        return Space(np.zeros((settings.terms, 1), np.float32), rare)
     root = turns[:, good] / np.sqrt(values[good])
     vectors, singular, _ = np.linalg.svd(product @ root, full_matrices=False)
     k = min(settings.rank, int((singular > singular[0] * 1e-6).sum()))

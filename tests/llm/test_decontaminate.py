@@ -141,3 +141,15 @@ def test_short_items_at_every_offset(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(frame(spark, rows), bench).collect()}
     assert got == want
+
+
+def test_one_document_and_its_copies(spark):
+    item = prose(40, 900)
+    bench = spark.createDataFrame([(1, item), (2, prose(40, 901))], "item_id long, text string")
+    for n in (1, 3):
+        docs = frame(spark, [(7, item)] * n)
+        got = [(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()]
+        assert got == [(7, 1)] * n
+        assert dc.clean(docs, bench).count() == 0
+    other = frame(spark, [(8, prose(50, 902))])
+    assert dc.clean(other, bench).count() == 1
