@@ -2,8 +2,9 @@
 
 Documents that share a rare line, one that at most ``rare`` documents have, are linked: each with
 the first document that has the line and with the one before it. A frequent line links each
-document with the first one only. So every shared line leads to an alignment, and links stay
-linear in the lines. Linked pairs are aligned by patience diff: lines that are unique in both
+document with the first one only. Runs of lines that are just long enough to be deleted link in the
+same way, by one hash per run, so every common block leads to an alignment with a document that has
+it, and links stay linear in the lines. Linked pairs are aligned by patience diff: lines that are unique in both
 documents, in the longest increasing order, split the texts, and the parts between are aligned
 in the same way. Aligned common blocks are deleted from the later document if long enough.
 """
@@ -15,11 +16,14 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealflow.llm.common import columns, fresh, joined, stored, text_or_empty
+from dealflow.llm.shingles import prefix_sums, run_hashes
 
 BREAK = "\n"
 
@@ -104,11 +108,48 @@ def line_table(rows: DataFrame) -> DataFrame:
     return hashed.dropDuplicates(["rid"])
 
 
+def block_hashes(lines: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the shortest runs of two lines or more that have ``least`` characters.
+
+    One run from each line on and one up to each line: every line of a longer common block is in
+    one of them that is within the block.
+    """
+    before = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    at = np.flatnonzero(sizes)
+    end = np.searchsorted(before, before[at] + least)
+    first = np.searchsorted(before, before[at + 1] - least, side="right") - 1
+    long, late = end <= len(lines), first >= 0
+    first, end = np.r_[at[long], first[late]], np.r_[end[long], at[late] + 1]
+    some = end - first > 1
+    return np.unique(run_hashes(prefix_sums(lines.view(np.uint64)), first[some], end[some])).view(np.int64)
+
+
+def with_blocks(table: DataFrame, settings: Settings) -> DataFrame:
+    """``table`` and, as blocks, the ``block_hashes`` of each row."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [
+                block_hashes(
+                    np.array(lines.values, np.int64), np.array(sizes.values, np.int64), settings.least_chars
+                )
+                for lines, sizes in zip(batch.column("lines"), batch.column("sizes"), strict=True)
+            ]
+            offsets = np.r_[0, np.cumsum([len(b) for b in blocks])].astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int64), *blocks])
+            cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "blocks"])
+
+    blocks = T.StructField("blocks", T.ArrayType(T.LongType()))
+    return table.mapInArrow(add, T.StructType([*table.schema.fields, blocks]))
+
+
 def linked(table: DataFrame, settings: Settings) -> DataFrame:
-    """rid and first: each document with earlier ones that have a line of it."""
+    """rid and first: each document with earlier ones that have a line or a block of it."""
     blank = F.xxhash64(F.lit(""))
     lines = table.select("rid", "doc_id", F.explode(F.array_distinct("lines")).alias("line"))
     lines = lines.filter(F.col("line") != blank)
+    lines = lines.unionAll(table.select("rid", "doc_id", F.explode("blocks").alias("line")))
     first = F.min(F.struct("doc_id", "rid"))["rid"]
     shared = lines.groupBy("line").agg(first.alias("first"), F.count("*").alias("n"))
     shared = stored(shared.filter("n > 1"), "shared-lines")
@@ -122,7 +163,7 @@ def linked(table: DataFrame, settings: Settings) -> DataFrame:
 
 def masks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """rid and gone (a flag per line) of the documents (rid, doc_id, text) that lose lines."""
-    table = stored(line_table(docs), "lines")
+    table = stored(with_blocks(line_table(docs), settings), "lines")
     pairs = stored(linked(table, settings), "pairs")
     own = pairs.join(table.select("rid", "lines", "sizes"), "rid")
     counts = pairs.groupBy("first").agg(F.count("*").alias("n"))

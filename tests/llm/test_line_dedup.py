@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 from llmcases import awkward, documents, frame, prose, texts
 
 from dealflow.llm import line_dedup
@@ -63,3 +64,36 @@ def test_awkward_rows(spark):
 
 def test_empty(spark):
     assert line_dedup.shortened(documents(spark).limit(0)).count() == 0
+
+
+def test_blocks_of_lines_that_stand_alone_elsewhere(spark):
+    """The first holders of the single lines lack the block; all but its first holder lose it."""
+    block = [prose(8, 40 + i)[:45] for i in range(4)]
+    rows = [(i, f"{prose(9, 60 + i)}\n{line}\n{prose(9, 70 + i)}") for i, line in enumerate(block)]
+    rows += [(10 + i, f"{prose(9, 100 + i)}\n" + "\n".join(block)) for i in range(120)]
+    got = {r.doc_id: r.text for r in line_dedup.shortened(frame(spark, rows, False)).collect()}
+    for d, text in rows:
+        assert got[d] == (text if d <= 10 else text.split("\n")[0])
+    # Up to 100 holders: a lone line stands between two documents with the block.
+    rows = rows[:4]
+    for i in range(20):
+        rows.append((10 + 10 * i, f"{prose(9, 100 + i)}\n" + "\n".join(block)))
+        rows += [(11 + 10 * i + j, f"{prose(9, 200 + 4 * i + j)}\n{line}") for j, line in enumerate(block)]
+    got = {r.doc_id: r.text for r in line_dedup.shortened(frame(spark, rows, False)).collect()}
+    for d, text in rows:
+        assert got[d] == (text.split("\n")[0] if d > 10 and d % 10 == 0 else text)
+
+
+def test_block_hashes_cover_common_blocks():
+    """All pairs: each long enough common block has all its lines in shared runs."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = rng.integers(0, 60, 30)
+        sizes[sizes < 8] = 0
+        lines = np.where(sizes, np.arange(30) + 5, 1)
+        own = set(line_dedup.block_hashes(lines, sizes, 100).tolist())
+        for a in range(30):
+            for b in range(a + 2, 31):
+                part = line_dedup.block_hashes(lines[a:b], sizes[a:b], 100)
+                assert set(part.tolist()) <= own
+                assert len(part) > 0 or sizes[a:b].sum() < 100
