@@ -6,7 +6,8 @@ document with the first one only. Runs of lines that are just long enough to be
 same way, by one hash per run, so every common block leads to an alignment with a document that has
 it, and links stay linear in the lines. Linked pairs are aligned by patience diff: lines that are unique in both
 documents, in the longest increasing order, split the texts, and the parts between are aligned
-in the same way. Aligned common blocks are deleted from the later document if long enough.
+in the same way; parts without such lines are split by the common run with the most characters.
+Aligned common blocks are deleted from the later document if long enough.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,59 @@ def rising(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Aligned positions of equal lines in ``a`` and ``b``, rising in both."""
+def heaviest(a: Sequence[int], b: Sequence[int], sizes: Sequence[int]) -> tuple[int, int, int, int]:
+    """Size, places in ``a`` and ``b`` and lines of the common run that is largest by ``sizes``.
+
+    ``a`` is read through the suffix automaton of ``b``, in time linear in both.
+    """
+    steps: list[dict[int, int]] = [{}]
+    link, length, end, last = [-1], [0], [-1], 0
+    for j, x in enumerate(b):
+        new, p = len(steps), last
+        steps.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        end.append(j)
+        while p >= 0 and x not in steps[p]:
+            steps[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][x]
+            if length[q] > length[p] + 1:
+                clone = len(steps)
+                steps.append(dict(steps[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                end.append(end[q])
+                while p >= 0 and steps[p].get(x) == q:
+                    steps[p][x] = clone
+                    p = link[p]
+                link[q] = q = clone
+            link[new] = q
+        last = new
+    before = [0, *accumulate(sizes)]
+    best, state, n = (0, 0, 0, 0), 0, 0
+    for i, x in enumerate(a):
+        while state and x not in steps[state]:
+            state = link[state]
+            n = length[state]
+        if x in steps[state]:
+            state, n = steps[state][x], n + 1
+            size = before[i + 1] - before[i + 1 - n]
+            if (size, n) > (best[0], best[3]):
+                best = (size, i + 1 - n, end[state] + 1 - n, n)
+    return best
+
+
+def patience(
+    a: Sequence[int], b: Sequence[int], sizes: Sequence[int] | None = None, least: int = 1
+) -> list[tuple[int, int]]:
+    """Aligned positions of equal lines in ``a`` and ``b``, rising in both.
+
+    Without a line that is unique in both, common runs below ``least`` by the ``sizes`` of the
+    lines of ``a`` (1 each if None) are left out: they touch no other aligned line on both sides.
+    """
+    sizes = [1] * len(a) if sizes is None else sizes
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -71,6 +124,13 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         unique = [(i, place[a[i]]) for i in range(a0, a1) if once[0][a[i]] == 1 and a[i] in place]
         anchors = rising(unique)
         if not anchors:
+            if sum(sizes[i] for i in range(a0, a1) if a[i] in once[1]) < least:
+                continue
+            size, i, j, n = heaviest(a[a0:a1], b[b0:b1], sizes[a0:a1])
+            if n and size >= least:
+                i, j = a0 + i, b0 + j
+                out += [(i + k, j + k) for k in range(n)]
+                todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
             continue
         for (i, j), (k, m) in zip([(a0, b0), *anchors], [*anchors, (a1, b1)], strict=True):
             # The next part starts with its anchor, which is then stripped as common start.
@@ -86,7 +146,7 @@ def common_lines(
     out: list[int] = []
     block: list[int] = []
     last = None
-    for i, j in [*patience(a, b), (-1, -1)]:
+    for i, j in [*patience(a, b, sizes, least), (-1, -1)]:
         if last is not None and (i, j) != (last[0] + 1, last[1] + 1):
             if sum(sizes[x] for x in block) >= least:
                 out += block

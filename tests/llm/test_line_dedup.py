@@ -97,3 +97,32 @@ def test_block_hashes_cover_common_blocks():
                 part = line_dedup.block_hashes(lines[a:b], sizes[a:b], 100)
                 assert set(part.tolist()) <= own
                 assert len(part) > 0 or sizes[a:b].sum() < 100
+
+
+def test_passages_that_stand_twice():
+    p = ["p", "q", "r"]
+    once, twice = ["u", *p, "v"], ["x", *p, "y", *p, "z"]
+    assert common_lines(once, twice, [1, 40, 40, 40, 1], 100) == [1, 2, 3]
+    found = common_lines(twice, once, [1, 40, 40, 40, 1, 40, 40, 40, 1], 100)
+    assert found in ([1, 2, 3], [5, 6, 7])
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (rng.integers(0, 3, rng.integers(1, 12)).tolist() for _ in range(2))
+        sizes = rng.integers(1, 9, len(a)).tolist()
+        runs = [
+            sum(sizes[i : i + n])
+            for n in range(1, 12)
+            for i in range(len(a) - n + 1)
+            if any(b[j : j + n] == a[i : i + n] for j in range(len(b)))
+        ]
+        size, i, j, n = line_dedup.heaviest(a, b, sizes)
+        assert a[i : i + n] == b[j : j + n] and size == sum(sizes[i : i + n]) == max(runs, default=0)
+
+
+def test_first_holder_has_the_passage_twice(spark):
+    p = "\n".join(prose(9, 20 + i) for i in range(4))
+    rows = [(1, f"{prose(5, 1)}\n{p}\n{prose(5, 2)}\n{p}\n{prose(5, 3)}")]
+    rows += [(10 + i, f"{prose(5, 50 + i)}\n{p}\n{prose(5, 300 + i)}") for i in range(120)]
+    got = {r.doc_id: r.text for r in line_dedup.shortened(frame(spark, rows, False)).collect()}
+    for i, (d, text) in enumerate(rows):
+        assert got[d] == (f"{prose(5, 49 + i)}\n{prose(5, 299 + i)}" if i else text)
