@@ -63,4 +63,71 @@ select page_id, payload_bytes::bigint as payload_bytes, n.payload_digest,
 from named n join firsts using (payload_digest)
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1, "op8_mix_sources": OP8}
+OP11 = """
+with recursive usable as (
+  select row_number() over () as r, vec_id, label, embedding::double[] as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs as (
+  select a.r as a, b.r as b
+  from usable a join usable b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r
+  where list_cosine_similarity(a.v, b.v) >= 0.98
+), counts as (
+  select a as r, count(*) as n_links from pairs group by a
+), reached(a, b) as (
+  select r, r from usable
+  union
+  select reached.a, pairs.b from reached join pairs on reached.b = pairs.a
+), grouped as (
+  select reached.a as r, min(u.vec_id) as component_id
+  from reached join usable u on u.r = reached.b group by reached.a
+), linked as (
+  select u.vec_id, coalesce(n_links, 0) as n_links, component_id
+  from usable u join grouped using (r) left join counts using (r)
+), unlinked as (
+  select vec_id, 0 as n_links, vec_id as component_id from embeddings
+  where not coalesce(vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0, false)
+)
+select vec_id, n_links::bigint as n_links, component_id, coalesce(vec_id = component_id, true) as kept
+from (from linked union all from unlinked)
+"""
+
+OP13 = """
+with cut as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as tokens,
+    sha256('1:' || coalesce(doc_id::varchar, '')) as h
+  from documents
+), drawn as (
+  select *, len(tokens) as n,
+    ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4
+  from cut
+), parts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as x, greatest(h1 % (n + 1), h2 % (n + 1)) as y,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90
+      then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), texts as (
+  select *, array_to_string(tokens[1:x], '') as p, array_to_string(tokens[x + 1:y], '') as m,
+    array_to_string(tokens[y + 1:n], '') as s
+  from parts
+)
+select doc_id, n::bigint as n, form,
+  case when form <> 'plain' then length(p)::bigint end as prefix_chars,
+  case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from texts
+"""
+
+SQL: dict[str, str] = {
+    "op1_warc": OP1,
+    "op8_mix_sources": OP8,
+    "op11_embedding_duplicates": OP11,
+    "op13_fill_in_middle": OP13,
+}

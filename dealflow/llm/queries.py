@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from dealflow.llm import (
     decontaminate,
     fingerprints,
+    infilling,
     language_id,
     license_scan,
     line_dedup,
     mixing,
     near_dup,
     pii,
+    spelling,
     suffix_dedup,
+    vector_dedup,
     warc,
 )
 
@@ -93,6 +96,25 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.components(table(spark, folder, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    settings = spelling.Settings(drop=97)
+    found = spelling.variants(table(spark, folder, "documents"), settings=settings)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = infilling.transformed(table(spark, folder, "documents"))
+    digests = {
+        "output_sha256": F.sha2(F.col("output").cast("binary"), 256),
+        "restored_sha256": F.sha2(infilling.restored(F.col("output"), F.col("form")).cast("binary"), 256),
+    }
+    return cut.withColumns(digests).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -104,4 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_embedding_duplicates": op11_embedding_duplicates,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
