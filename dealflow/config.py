@@ -114,6 +114,9 @@ class Thresholds:
     broadcast_chars: int = 32_000_000
     # Scale: a group up to this many rows is sorted by one task, a larger one is split
     task_rows: int = 2_000_000
+    # Scale: a list is joined in slices of so many bytes; a text can have so many in a JVM
+    list_slice_bytes: int = 64_000_000
+    cell_bytes: int = 2_000_000_000
 
 
 DEFAULTS = Thresholds()

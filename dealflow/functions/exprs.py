@@ -167,12 +167,6 @@ def closes_late(as_of: dt.date | None, cfg: Thresholds) -> Column:
 # --- texts ----------------------------------------------------------------
 
 
-def concat_distinct(c: Column, separator: str) -> Column:
-    """Distinct values in order, joined; NULL when there are none. '' is a value."""
-    values = F.array_sort(F.collect_set(c))
-    return F.when(F.size(values) > 0, F.array_join(values, separator))
-
-
 def label_order(c: Column, listed: Sequence[str]) -> Column:
     """Position of a label in a list, from 1; 0 when it is not listed."""
     position = F.array_position(F.array(*[F.lit(x) for x in listed]), c)

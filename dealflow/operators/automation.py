@@ -12,11 +12,14 @@ from dealflow.config import DEFAULTS, Thresholds
 from dealflow.functions import dates as D
 from dealflow.functions import exprs as X
 from dealflow.plans import (
+    count_pairs,
+    down,
+    fits_broadcast,
     join_lookup,
-    join_stored,
     listed,
     numbered,
     pair_partitions,
+    paired_in_order,
     settled,
     with_lists,
 )
@@ -198,8 +201,8 @@ def priority_queue(
         )
         .withColumn("_urgency", urgency)
     )
-    order = [F.desc("_urgency"), F.col("Opportunity_ID")]
-    ranked = numbered(queue, ["Sales_Rep"], order, "daily_rank", cfg)
+    order = [*down(F.col("_urgency")), F.col("Opportunity_ID")]
+    queued = numbered(queue, ["Sales_Rep"], order, "daily_rank", cfg, ordered=True)
 
     # Whole numbers up to one last division, so that scores are exact.
     unit = cfg.priority_size_unit
@@ -219,8 +222,7 @@ def priority_queue(
         .when(idle > cfg.idle_days, L.CHECK_IN)
         .otherwise(L.ON_TRACK)
     )
-    # The order by rep and rank, in terms that the partitioning already fulfils.
-    return ranked.orderBy("Sales_Rep", *order).select(
+    return queued.select(
         *[c for c in queue.columns if c != "_urgency"],
         ((points * unit + from_size) / unit).alias("priority_score"),
         step.alias("suggested_action"),
@@ -431,6 +433,7 @@ def _patterns(deals: DataFrame, cfg: Thresholds) -> DataFrame:
             "common_loss_reasons": (of_lost("Reason_Lost"), ", "),
             "competitors": (of_lost("Competitor_Name"), ", "),
         },
+        cfg,
     )
     rate = X.pct(F.col("lost"), F.col("total_closed"))
     return (
@@ -541,9 +544,9 @@ def week_created(
 
 def _in_list_order(deals: DataFrame, columns: list[str], cfg: Thresholds) -> DataFrame:
     """One row per deal, with its position in the list of its rep and region."""
-    order = [F.desc("Deal_Size"), F.col("Opportunity_Name"), F.col("Opportunity_ID")]
-    placed = numbered(deals.select(*REP, *columns), REP, order, "position", cfg)
-    return placed.orderBy(*REP, *order).select(*REP, "position", *columns)
+    order = [*down(F.col("Deal_Size")), F.col("Opportunity_Name"), F.col("Opportunity_ID")]
+    placed = numbered(deals.select(*REP, *columns), REP, order, "position", cfg, ordered=True)
+    return placed.select(*REP, "position", *columns)
 
 
 def week_created_deals(
@@ -688,6 +691,7 @@ def rep_capability(
             **outcomes,
         },
         {"industries_won": (F.when(X.is_won(), F.col("Industry")), ", ")},
+        cfg,
     )
     open_deals, closed = F.col("current_open_deals"), F.col("_won") + F.col("_lost")
     hundred = F.lit(100).cast("decimal(3,0)")
@@ -744,6 +748,7 @@ def deal_rep_matches(
                 "_lost": F.count_if(X.is_lost()),
             },
             {"_industries": (F.when(X.is_won(), F.col("Industry")), "")},
+            cfg,
             as_arrays=True,
         ).select(
             F.col("Sales_Rep").alias("recommended_rep"),
@@ -771,17 +776,17 @@ def deal_rep_matches(
         X.size_tier(cfg).alias("size_tier"),
     )
     largest = F.col("size_tier") == L.ENTERPRISE
-    # Before a broadcast, prospects are put into the order of the result before they multiply,
-    # so that the pairs are sorted where they arise, in as many partitions as they need.
-    joined = join_stored(
-        prospects,
-        profiles,
-        ["Region"],
-        F.col("Opportunity_ID"),
-        cfg,
-        order=["Opportunity_ID"],
-        parts=pair_partitions(prospects, profiles, "Region", cfg),
-    ).where(~largest | senior)
+    # Prospects are put into the order of the result before they multiply, so that the pairs are
+    # sorted where they arise, in as many partitions as they need.
+    pairs = count_pairs(prospects, profiles, "Region")
+    small = fits_broadcast(profiles, cfg)
+    if small:
+        parts = pair_partitions(pairs, prospects, cfg)
+        placed = prospects.repartitionByRange(parts, "Opportunity_ID")
+        joined = placed.join(F.broadcast(profiles), "Region")
+    else:
+        joined = paired_in_order(prospects, profiles, "Region", ["Opportunity_ID"], pairs, cfg)
+    joined = joined.where(~largest | senior)
     if cfg.match_candidates is not None:
         place = F.when(largest, F.col("_place_senior")).otherwise(F.col("_place"))
         joined = joined.where(place <= cfg.match_candidates)
@@ -792,7 +797,8 @@ def deal_rep_matches(
         F.when(largest & senior, L.FIT_SENIOR),
         F.when(F.col("current_workload") < cfg.capacity_deals, L.FIT_CAPACITY),
     )
-    return joined.select(
+    order = ["Opportunity_ID", *best_first]
+    joined = joined.select(
         "Opportunity_ID",
         "Opportunity_Name",
         "Region",
@@ -804,4 +810,5 @@ def deal_rep_matches(
         "overall_win_rate",
         "current_workload",
         reasons.alias("fit_reasons"),
-    ).orderBy("Opportunity_ID", *best_first)
+    )
+    return joined.orderBy(*order) if small else joined.sortWithinPartitions(*order)

@@ -285,6 +285,7 @@ def top_campaigns(
         ["Campaign_Name", SOURCE],
         {"total_deals": F.count("*"), "won": _won(), "_lost": _lost(), "_value": _won_value()},
         {"tiers_reached": (F.col("Account_Tier"), ", ")},
+        cfg,
     )
     return (
         totals.select(
@@ -382,6 +383,7 @@ def competitive_loss_rate(
             "competitive_lost_value": X.sum_if(_has_competitor(), X.size()),
         },
         {"competitors_faced": (F.when(_has_competitor(), F.col("Competitor_Name")), ", ")},
+        cfg,
     )
     return totals.select(
         SOURCE,
@@ -410,6 +412,7 @@ def source_competitor_matrix(
             "_timed": F.count("Sales_Cycle_Days"),
         },
         {"loss_reasons": (F.col("Reason_Lost"), ", ")},
+        cfg,
     )
     return totals.select(
         SOURCE,

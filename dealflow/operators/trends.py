@@ -11,7 +11,7 @@ from dealflow import labels as L
 from dealflow.config import DEFAULTS, Thresholds
 from dealflow.functions import dates as D
 from dealflow.functions import exprs as X
-from dealflow.plans import with_lists
+from dealflow.plans import ranked, with_lists
 
 REP = ["Sales_Rep", "Region"]
 
@@ -96,6 +96,7 @@ def stuck_deals_by_rep(
             "_days": F.sum("Days_in_Stage"),
         },
         {"stages_affected": (F.col("Stage"), ", ")},
+        cfg,
     )
     return totals.select(
         *REP,
@@ -153,7 +154,7 @@ def peak_and_lowest_months(
 def rep_leaderboard(
     deals: DataFrame, as_of: dt.date | None = None, cfg: Thresholds = DEFAULTS
 ) -> DataFrame:
-    """Reps ranked by value won this year; the window sees one row per rep and region."""
+    """Reps ranked by value won this year, one row per rep and region, at any number of them."""
     totals = (
         _closed_this_year(deals, as_of)
         .groupBy(*REP)
@@ -164,8 +165,8 @@ def rep_leaderboard(
             F.count_if(X.is_lost()).alias("lost_deals"),
         )
     )
-    return totals.select(
-        F.rank().over(Window.orderBy(F.desc("ytd_won_value"))).alias("leaderboard_rank"),
+    return ranked(totals, "ytd_won_value", REP, "leaderboard_rank", cfg).select(
+        "leaderboard_rank",
         *REP,
         "won_deals",
         "lost_deals",
@@ -173,4 +174,4 @@ def rep_leaderboard(
         "ytd_lost_value",
         (F.col("ytd_won_value") - F.col("ytd_lost_value")).alias("net_value"),
         X.win_rate(F.col("won_deals"), F.col("lost_deals")).alias("win_rate_pct"),
-    ).orderBy("leaderboard_rank", *REP)
+    )

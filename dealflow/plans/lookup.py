@@ -27,7 +27,6 @@ def join_lookup(
     cfg: Thresholds,
     how: str = "inner",
     order: Sequence[str] = (),
-    parts: int | None = None,
 ) -> DataFrame:
     """Equi-join ``deals`` (``how`` is inner or left) with ``lookup``.
 
@@ -38,43 +37,16 @@ def join_lookup(
     a deal coming from ``spread_by``; every deal still meets each of its partners once.
     There are as many salts as it takes to keep the largest key below ``cfg.task_rows``.
 
-    ``order`` names the order of the result: before a broadcast the deals are put into it
-    (in ``parts`` partitions), which makes the final sort a local one. Before a merge, whose
-    shuffle would undo it, they are not. The measuring jobs run at once.
+    ``order`` names the order of the result: before a broadcast the deals are put into it,
+    which makes the final sort a local one. Before a merge, whose shuffle would undo it, they
+    are not. The measuring jobs run at once.
     """
-    return join_stored(deals, settled(lookup), on, spread_by, cfg, how, order, parts)
-
-
-def join_stored(
-    deals: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread_by: Column,
-    cfg: Thresholds,
-    how: str = "inner",
-    order: Sequence[str] = (),
-    parts: int | None = None,
-) -> DataFrame:
-    """The same for a lookup that is stored already."""
-    if fits_broadcast(lookup, cfg):
+    stored = settled(lookup)
+    if fits_broadcast(stored, cfg):
         if order:
-            deals = deals.repartitionByRange(*([parts] if parts else []), *order)
-        return deals.join(F.broadcast(lookup), list(on), how)
+            deals = deals.repartitionByRange(*order)
+        return deals.join(F.broadcast(stored), list(on), how)
     salts = -(-largest_group(deals, on) // cfg.task_rows) or 1
     salted = deals.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
-
-
-def pair_partitions(left: DataFrame, right: DataFrame, key: str, cfg: Thresholds) -> int:
-    """Partitions for all pairs with an equal key: the usual number, or more for many pairs.
-
-    The pairs are counted exactly, from the rows per key on both sides.
-    """
-    counts = left.groupBy(key).agg(F.count("*").alias("l")).join(
-        right.groupBy(key).agg(F.count("*").alias("r")), key
-    )
-    product = F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")
-    pairs = int(counts.agg(F.sum(product.cast("decimal(38,0)"))).first()[0] or 0)
-    usual = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(usual, -(-pairs // cfg.task_rows))

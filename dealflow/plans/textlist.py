@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.config import Thresholds
-from dealflow.plans.rank import numbered
+from dealflow.plans.rank import down, numbered
 
 #: Bytes that a text can have in a JVM, less some room.
 CELL_BYTES = 2_000_000_000
@@ -50,7 +50,7 @@ def listed(
         )
         return rows.groupBy(*keys).agg(*aggregates, cell.alias(name))
 
-    order = [F.desc("Deal_Size"), F.col("_item"), F.col("Opportunity_ID")]
+    order = [*down(F.col("Deal_Size")), F.col("_item"), F.col("Opportunity_ID")]
     placed = numbered(
         rows.select(*keys, "Deal_Size", "_item", "Opportunity_ID"), keys, order, "_pos", cfg
     ).withColumn("_slice", F.floor((F.col("_pos") - 1) / cfg.task_rows))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dealflow.config import DEFAULTS, Thresholds
 from dealflow.functions import dates as D
 from dealflow.functions import exprs as X
+from dealflow.plans import with_lists
 
 
 def column(spark, values, expr, type_="string"):
@@ -128,13 +129,20 @@ def test_sizes_do_not_overflow(spark):
     assert df.agg(X.weighted_size()).first()[0] == 600_000_000_000
 
 
-def test_concat_distinct(spark):
+def test_distinct_lists(spark):
+    """Values in order, NULL is none, the empty text is one; several lists at once."""
     df = spark.createDataFrame(
-        [("a", "y"), ("a", "x"), ("a", "y"), ("a", None), ("b", None), ("c", ""), ("c", "z")],
-        "k string, x string",
-    )
-    got = dict(df.groupBy("k").agg(X.concat_distinct(F.col("x"), ", ")).collect())
-    assert got == {"a": "x, y", "b": None, "c": ", z"}
+        [("a", "y", None), ("a", "x", "2"), ("a", "y", "10"), ("a", None, "2"), ("b", None, None),
+         ("c", "", "1"), ("c", "z", "1"), (None, "n", None)],
+        "k string, x string, y string",
+    )
+    lists = {"xs": (F.col("x"), ", "), "ys": (F.col("y"), ";")}
+    got = with_lists(df, ["k"], {"n": F.count("*")}, lists, DEFAULTS).collect()
+    assert {r.k: (r.n, r.xs, r.ys) for r in got} == {
+        "a": (4, "x, y", "10;2"), "b": (1, None, None), "c": (2, ", z", "1"), None: (1, "n", None)
+    }
+    arrays = with_lists(df, ["k"], {"n": F.count("*")}, {"xs": (F.col("x"), "")}, DEFAULTS, as_arrays=True)
+    assert {r.k: r.xs for r in arrays.collect()} == {"a": ["x", "y"], "b": [], "c": ["", "z"], None: ["n"]}
 
 
 def test_label_helpers(spark):

@@ -70,7 +70,7 @@ def test_status_prunes_folders(stored):
 
 
 def test_year_reaches_the_parquet_scan(stored):
-    text = plan(T.rep_leaderboard(stored, DAY))
+    text = plan(T.ytd_won_lost_by_rep(stored, DAY))
     pushed = re.search(r"PushedFilters: \[([^]]*)\]", text).group(1)
     assert "GreaterThanOrEqual(Close_Date,2001-01-01)" in pushed
     assert "LessThan(Close_Date,2002-01-01)" in pushed
@@ -110,7 +110,7 @@ def test_top_campaigns_sort_no_more_than_they_keep(stored):
 
 
 def test_global_windows_come_after_aggregation(stored):
-    for report in (T.peak_and_lowest_months, T.rep_leaderboard, S.velocity_scorecard):
+    for report in (T.peak_and_lowest_months, S.velocity_scorecard):
         text = plan(report(stored, DAY))
         below = text[text.index("SinglePartition") :]
         assert "HashAggregate" in below
