@@ -3,7 +3,9 @@
 Texts and templates are lower-cased words without punctuation. For a span of a text with u
 different bigrams, of which m are among the t of a template, the coefficient is 2 m / (u + t).
 As m is at most u and t, a coefficient of d needs m >= d t / (2 - d), and u <= t (2 - d) / d. The
-first bound drops a template by counts over the whole text; the second limits the spans.
+first bound drops templates and starts of spans by counts of hits; the second, taken over the
+bigrams of the template with their repeats, limits the length of spans, so that a span is one
+notice and the work for it does not grow with the text.
 """
 
 from __future__ import annotations
@@ -33,54 +35,79 @@ def bigrams(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Templates:
-    """Names, sizes, and all bigrams in order with the template that each belongs to."""
+    """Names, sizes (different bigrams), lengths (all of them), and the different bigrams of all
+    in order with the template that each belongs to."""
 
     names: list[str]
     sizes: np.ndarray
+    lengths: np.ndarray
     values: np.ndarray
     owners: np.ndarray
 
 
 def prepared(templates: Mapping[str, str]) -> Templates:
     """Templates with two words at least; others have no bigram."""
-    sets = {n: np.unique(bigrams(words([t.encode()])[0])) for n, t in sorted(templates.items())}
-    sets = {n: s for n, s in sets.items() if len(s)}
-    values = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
-    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
+    runs = {n: bigrams(words([t.encode()])[0]) for n, t in sorted(templates.items())}
+    runs = {n: r for n, r in runs.items() if len(r)}
+    sets = [np.unique(r) for r in runs.values()]
+    values = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
-    sizes = np.array([len(s) for s in sets.values()], int)
-    return Templates(list(sets), sizes, values[order], owners[order])
+    sizes = np.array([len(s) for s in sets], int)
+    lengths = np.array([len(r) for r in runs.values()], int)
+    return Templates(list(runs), sizes, lengths, values[order], owners[order])
 
 
-def spans(at: np.ndarray, own: np.ndarray, text: np.ndarray, size: int, dice: float):
-    """(coefficient, first, end) of the best spans of bigrams that do not overlap.
+def previous(values: np.ndarray) -> np.ndarray:
+    """The place before each one that holds the same value, -1 for none."""
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    out = np.full(len(values), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
 
-    ``at`` are the places in ``text`` (bigrams) that hold a bigram of the template, ``own`` those
-    bigrams. A best span starts and ends with one of them; of equal ones the first counts.
+def spans(at: np.ndarray, before: np.ndarray, size: int, length: int, dice: float):
+    """(coefficient, first, end) of the spans of one template in a text, left to right.
+
+    ``at`` are the places (bigrams of the text) that hold a bigram of the template, ``before``
+    is ``previous`` of the text. Spans start and end with one of them and have no more than
+    ``length * (2 - dice) / dice`` bigrams. From the first start with a span that reaches
+    ``dice``, the best of all spans that start before the end of the shortest such span is
+    taken (of equal ones the first, then the shortest); the search goes on after its end.
     """
-    need, most = dice * size / (2 - dice), size * (2 - dice) / dice
-    out, todo = [], [(0, len(at))]
-    while todo:
-        low, high = todo.pop()
-        if len(np.unique(own[low:high])) < need - 1e-9:
+    most = int(length * (2 - dice) / dice + 1e-9)
+    hits = np.minimum(np.searchsorted(at, at + most) - np.arange(len(at)), size)
+    starts = np.flatnonzero(hits >= dice * size / (2 - dice) - 1e-9)
+    hit = np.zeros(len(before), bool)
+    hit[at] = True
+
+    def values_from(first: int) -> np.ndarray:
+        end = min(first + most, int(at[-1]) + 1)
+        # A bigram counts where it stands for the first time in the span.
+        new = before[first:end] < first
+        return 2 * np.cumsum(new & hit[first:end]) / (np.cumsum(new) + size)
+
+    out, k = [], 0
+    while k < len(starts):
+        first = int(at[starts[k]])
+        values = values_from(first)
+        fits = np.flatnonzero(values >= dice)
+        if not len(fits):
+            k += 1
             continue
-        best = (0.0, 0, 0)
-        for i in range(low, high):
-            shared, seen, last = set(), set(), at[i]
-            for j in range(i, high):
-                seen.update(text[last : at[j] + 1].tolist())
-                last = at[j] + 1
-                if len(seen) > most + 1e-9:
-                    break
-                shared.add(own[j])
-                value = 2 * len(shared) / (len(seen) + size)
-                if value > best[0]:
-                    best = (value, i, j)
-        value, i, j = best
-        if value >= dice:
-            out.append((value, int(at[i]), int(at[j]) + 1))
-            todo += [(low, i), (j + 1, high)]
-    return sorted(out, key=lambda x: x[1])
+        best = (-values.max(), first, first + int(values.argmax()) + 1)
+        for start in starts[k + 1 :]:
+            later = int(at[start])
+            if later > first + fits[0]:
+                break
+            if 2 * hits[start] / (hits[start] + size) <= -best[0]:
+                continue
+            values = values_from(later)
+            best = min(best, (-values.max(), later, later + int(values.argmax()) + 1))
+        out.append((float(-best[0]), best[1], best[2]))
+        k = int(np.searchsorted(at[starts], best[2]))
+    return out
 
 
 def found(texts: list[bytes], templates: Templates, settings: Settings):
@@ -105,14 +132,17 @@ def found(texts: list[bytes], templates: Templates, settings: Settings):
     order = np.lexsort((at, template, text))
     at, template, text = at[order], template[order], text[order]
     begins = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (template[1:] != template[:-1])])
-    out = []
+    out, known, before = [], -1, np.zeros(0, int)
     for first, last in zip(begins, np.r_[begins[1:], len(at)], strict=True):
-        size, own = int(templates.sizes[template[first]]), at[first:last]
+        size, length = int(templates.sizes[template[first]]), int(templates.lengths[template[first]])
         if last - first < settings.dice * size / (2 - settings.dice) - 1e-9:
             continue
-        start = ends[text[first]] - counts[text[first]]
-        for value, a, b in spans(own, pairs[own], pairs, size, settings.dice):
-            out.append((int(text[first]), int(template[first]), value, int(a - start), b - a + 1))
+        which, end = int(text[first]), int(ends[text[first]])
+        start = end - int(counts[which])
+        if which != known:
+            known, before = which, previous(pairs[start : end - 1])
+        for value, a, b in spans(at[first:last] - start, before, size, length, settings.dice):
+            out.append((which, int(template[first]), value, a, b - a + 1))
     return out
 
 
@@ -126,7 +156,9 @@ def scan(
     """doc_id, license, dice, first_word, n_words: one row per licence found in a whole text.
 
     A licence that stands several times in a text gives several rows; spans of one template do
-    not overlap, those of different ones may. Null texts and texts of less than two words give
+    not overlap, those of different ones may (a text that holds a template's text within its own
+    is like both; the coefficients tell). Work is linear in a text, however often a notice stands
+    in it, and at most quadratic in the length of a template. Null texts and texts of less than two words give
     no rows, a repeated row gives its rows again. The number of templates is the caller's.
     """
     rows = columns(docs, doc_id=doc_id, text=text)
