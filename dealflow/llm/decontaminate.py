@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dealflow.llm.common import chunks, columns, stored
 from dealflow.llm.shingles import prefix_sums, run_hashes, words
@@ -248,17 +249,19 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
 class Items:
     """Items of a block: ids, words, answers, and per passage size the places and vectors.
 
-    ``sorted`` has the different words of an item and its answer. ``needs`` has the words that must be common, and how many of them rare ones. ``at`` and
+    ``sorted`` has the different words of an item and its answer, ``member`` a bit per item and
+    term of them. ``needs`` has the words that must be common, and how many of them rare ones. ``at`` and
     ``by_term`` list the items that hold each rare term. ``whole`` has a hash of all words of each
     item; ``begins`` has, per power of two, sorted hashes of the first so many words of the items
     with less than twice as many, those items, and the leading bits that occur.
     """
 
-    ids: list[int]
+    ids: list
     words: list[list[int]]
     answers: list[list[int]]
     groups: dict[int, tuple[np.ndarray, np.ndarray]]
     sorted: list[np.ndarray]
+    member: np.ndarray
     needs: np.ndarray
     at: np.ndarray
     by_term: np.ndarray
@@ -270,7 +273,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def prepared(rows: list[tuple[int, str, str | None]], space: Space, settings: Settings) -> Items:
+def prepared(rows: list[tuple[object, str, str | None]], space: Space, settings: Settings) -> Items:
     """Items that have any word; one without is in no document."""
     ids, own, answers, vectors, size, needs, held = [], [], [], [], [], [], []
     for item, text, answer in rows:
@@ -299,8 +302,12 @@ def prepared(rows: list[tuple[int, str, str | None]], space: Space, settings: Se
     at = np.searchsorted([t for t, _ in held], np.arange(settings.terms + 1))
     by_term = np.array([i for _, i in held], np.int64)
     known = [np.unique(np.array([*w, *a], np.uint64)) for w, a in zip(own, answers, strict=True)]
+    member = np.zeros((len(known), settings.terms), bool)
+    for i, k in enumerate(known):
+        member[i, term(k, settings)] = True
+    member = np.packbits(member, axis=1, bitorder="little")
     needs = np.array(needs).reshape(-1, 2)
-    return Items(ids, own, answers, groups, known, needs, at, by_term, *run_index(own))
+    return Items(ids, own, answers, groups, known, member, needs, at, by_term, *run_index(own))
 
 
 def run_index(texts: list[list[int]]):
@@ -366,6 +373,27 @@ def rare_hits(terms: np.ndarray, step: np.ndarray, steps: int, items: Items) ->
     return np.sort(items.by_term[first + own] * steps + np.repeat(step, n))
 
 
+def enough_words(
+    terms: np.ndarray, item: np.ndarray, left: np.ndarray, right: np.ndarray, items: Items
+) -> np.ndarray:
+    """Whether the words [left, right) hold as many of the item's as must be common, by terms."""
+    out = np.zeros(len(item), bool)
+    ends = np.cumsum(right - left)
+    at = 0
+    while at < len(item):
+        # About a million words at a time.
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20))))
+        some = slice(at, stop)
+        n = right[some] - left[some]
+        first = np.cumsum(n) - n
+        own = terms[np.arange(n.sum()) + np.repeat(left[some] - first, n)]
+        bits = items.member[np.repeat(item[some], n), own >> 3] >> (own & 7).astype(np.uint8) & 1
+        shared = np.add.reduceat(np.r_[bits, 0].astype(np.int32), first)
+        out[some] = (n > 0) & (shared >= items.needs[item[some], 0])
+        at = stop
+    return out
+
+
 def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     """(text, item, cosine, common words, first word) of each verified pair, the best passage."""
     hashes, counts = words(texts)
@@ -410,6 +438,7 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
             right = min(first + len(items.words[i]) + around, int(word_end[t]))
             shared = shared_words(i, max(first - around, begin_word), right)
             if shared:
+                # The same words have the same vector.
                 out[t, i] = (1.0, shared, first - begin_word)
     for size, (places, vectors) in items.groups.items():
         # Every second half of a passage starts one; the last of a text are shorter.
@@ -427,18 +456,19 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
             high = np.minimum(step + size + reach[item], end[step])
             base = item * len(starts)
             rare = np.searchsorted(hits, base + high) - np.searchsorted(hits, base + low)
-            good = np.flatnonzero(rare >= items.needs[item, 1])
-            for c, s, i in zip(cosine[good].tolist(), step[good].tolist(), item[good].tolist()):
-                pair = (int(text[s]), i)
+            good = rare >= items.needs[item, 1]
+            cosine, step, item = cosine[good], step[good], item[good]
+            which, around = text[step], reach[item] * settings.step
+            begin_word = word_end[which] - counts[which]
+            left = np.maximum(starts[step] - around, begin_word)
+            right = np.minimum(starts[step] + size * settings.step + around, word_end[which])
+            for k in np.flatnonzero(enough_words(terms, item, left, right, items)).tolist():
+                pair, c = (int(which[k]), int(item[k])), float(cosine[k])
                 if c <= out.get(pair, (0.0,))[0]:
                     continue
-                begin_word = int(word_end[pair[0]] - counts[pair[0]])
-                around = int(reach[i]) * settings.step
-                left = max(int(starts[s]) - around, begin_word)
-                right = min(int(starts[s]) + size * settings.step + around, int(word_end[pair[0]]))
-                shared = shared_words(i, left, right)
+                shared = shared_words(pair[1], int(left[k]), int(right[k]))
                 if shared:
-                    out[pair] = (c, shared, int(starts[s]) - begin_word)
+                    out[pair] = (c, shared, int(starts[step[k]] - begin_word[k]))
     return [(*pair, *facts) for pair, facts in out.items()]
 
 
@@ -469,11 +499,13 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, cosine, common_words, item_words, first_word of each verified pair.
 
-    Every whole text is searched for every item. Null and empty texts hold nothing, items
+    Every whole text is searched for every item; ids are of any type. ``cosine`` is that of the
+    passage found, 1 where the item stands word for word. Null and empty texts hold nothing, items
     without words are in nothing; rows that are repeated give repeated pairs, repeated items
     one. Without documents, words or items there are no pairs.
     """
     rows = columns(docs, doc_id=doc_id, text=text)
+    item_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     kinds = [rows.schema["doc_id"].dataType.simpleString(), dict(benchmark.dtypes)["item_id"]]
     schema = (
         f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, common_words long, "
@@ -493,7 +525,7 @@ def contaminated(
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64())),
-                        "item_id": pa.array([items.ids[h[1]] for h in hits], pa.int64()),
+                        "item_id": pa.array([items.ids[h[1]] for h in hits], item_kind),
                         "cosine": pa.array([h[2] for h in hits], pa.float64()),
                         "common_words": pa.array([h[3] for h in hits], pa.int64()),
                         "item_words": pa.array([len(items.words[h[1]]) for h in hits], pa.int64()),

@@ -153,3 +153,51 @@ def test_one_document_and_its_copies(spark):
         assert dc.clean(docs, bench).count() == 0
     other = frame(spark, [(8, prose(50, 902))])
     assert dc.clean(other, bench).count() == 1
+
+
+def test_ids_of_any_type(spark):
+    item = prose(30, 950)
+    docs = frame(spark, [(1, f"{prose(40, 951)} {item}"), (2, prose(50, 952)), (None, item)])
+    bench = spark.createDataFrame([(7, item), (8, prose(20, 953))], "item_id long, text string")
+    for kind, want in (("int", 7), ("string", "7"), ("decimal(10,0)", 7), ("long", 7)):
+        typed = bench.selectExpr(f"cast(item_id as {kind}) item_id", "text", "'x' cosine", "1 at")
+        got = dc.contaminated(docs.withColumn("doc_id", docs.doc_id.cast("string")), typed)
+        assert dict(got.dtypes)["item_id"] == kind and dict(got.dtypes)["doc_id"] == "string"
+        assert sorted((str(r.doc_id), r.item_id) for r in got.collect()) == [("1", want), ("None", want)]
+        assert [r.doc_id for r in dc.clean(docs, typed).collect()] == [2]
+
+
+def test_recall_by_share_of_replaced_words(spark):
+    """Items with words replaced at random, in documents of their own."""
+    rng = random.Random(12)
+    items = {i: prose(rng.randint(16, 60), 1000 + i).split() for i in range(40)}
+    rows, planted = [(90_000 + i, prose(200, 3000 + i)) for i in range(80)], {}
+    for share in (0, 10, 20, 30):
+        for i, item in items.items():
+            answer = len(item) - max(1, len(item) // 4)  # words of the answer stay
+            out = set(rng.sample(range(answer), len(item) * share // 100))
+            loose = " ".join(f"x{rng.randint(0, 999)}" if k in out else w for k, w in enumerate(item))
+            d = 100 * share + i
+            rows.append((d, f"{prose(60 + i, 5000 + d)} {loose} {prose(70, 9000 + d)}"))
+            planted.setdefault(share, set()).add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(frame(spark, rows), bench).collect()}
+    recall = {share: len(pairs & got) / len(pairs) for share, pairs in planted.items()}
+    assert recall[0] == 1 and min(recall.values()) >= 0.9, recall
+    assert not got - set().union(*planted.values())
+
+
+def test_word_check_is_that_of_the_words(spark):
+    """The check by terms never rules out what the exact one accepts."""
+    rng = np.random.default_rng(5)
+    space = dc.Space(np.ones((1 << 15, 2), np.float32), np.ones(1 << 15, bool))
+    texts_ = [prose(int(n), int(n)) for n in rng.integers(3, 40, 30)]
+    items = dc.prepared([(i, t, None) for i, t in enumerate(texts_)], space, dc.Settings())
+    hashes, _ = dc.words([" ".join(texts_ + [prose(200, 77)]).encode()])
+    left = rng.integers(0, len(hashes), 500)
+    right = np.minimum(left + rng.integers(0, 60, 500), len(hashes))
+    item = rng.integers(0, 30, 500)
+    got = dc.enough_words(dc.term(hashes, dc.Settings()), item, left, right, items)
+    exact = [np.isin(hashes[a:b], items.sorted[i]).sum() >= items.needs[i, 0] and b > a
+             for i, a, b in zip(item, left, right, strict=True)]
+    assert (got >= np.array(exact)).all() and 0 < got.sum() < 200
