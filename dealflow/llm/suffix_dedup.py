@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import chunks, columns, joined, stored, text_or_empty
+from dealflow.llm.common import chunks, columns, joined, released, stored, text_or_empty
 from dealflow.llm.rolling import U64, inverse_powers, prefix_hash, span_hash
 from dealflow.llm.shingles import mixed
 
@@ -209,13 +209,15 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     total = cores.agg(F.sum("n")).first()[0] or 0
     rows = stored(joined(parsed(texts, settings, cores_only=False), cores, "core", "n", total)
                   .drop("n"), "triggers")
+    released(cores)
 
     # One trigger per context stands for all of it; it is found again by its hash.
     name = F.xxhash64("rid", "span")
     groups = rows.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(name).alias("name"))
     groups = stored(groups, "contexts")
     cores = groups.groupBy("core").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    mixed_ = joined(groups, stored(cores, "mixed"), "core", "contexts", groups.count())
+    cores = stored(cores, "mixed")
+    mixed_ = joined(groups, cores, "core", "contexts", groups.count())
     marked = stored(
         groups.select("context", "n", "name", F.lit(False).alias("mixed"))
         .union(mixed_.select("context", "n", "name", F.lit(True)))
@@ -223,12 +225,14 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         .agg(F.max("n").alias("n"), F.max("name").alias("name"), F.max("mixed").alias("mixed")),
         "marked",
     )
+    released(groups, cores)
     placed = stored(
         joined(rows.drop("core"), marked, "context", "n", rows.count()).select(
             "rid", "span", (F.col("n") > 1).alias("known"), ((name == F.col("name")) & F.col("mixed")).alias("open")
         ),
         "placed",
     )
+    released(rows, marked)
     opened = placed.filter("open").select("rid", "span", "known").distinct()
     opened = stored(contexts(docs.select("rid", "text"), opened, settings), "open")
     single = strings(opened, settings)
