@@ -8,6 +8,7 @@ import duckdb
 import pyarrow.parquet as pq
 import pytest
 from conftest import DAY, TESTDATA, rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.deals_view import deals, deals_raw
@@ -17,6 +18,7 @@ from dealflow.operators import coverage as P
 from dealflow.schema import DEALS_SCHEMA, RAW_SCHEMA
 from dealflow.sources import ingest, read_deals, read_raw, write_deals, write_report
 from dealflow.sources.readers import range_slices
+from dealflow.sources.writers import date_cuts, interleaved
 
 FOLDER = str(TESTDATA / "sf0.001")
 
@@ -139,32 +141,62 @@ def test_empty_status_survives_storing(spark, make, tmp_path):
 
 
 def test_a_week_is_in_few_files(spark, tmp_path):
-    """Files hold short spans of closing dates (open deals: of creation), for filters to skip."""
+    """Files skipped for a week, by column and status, in many small files."""
     path = tmp_path / "deals"
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.shuffle.partitions", "192")
     try:
         write_deals(deals(spark, "/root/testdata/sf0.01"), str(path))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
-    def spans(status: str, column: str) -> list:
-        out = []
+    def skipped(status: str, column: str) -> float:
+        """Share of files without a day of a week in the middle of the dates."""
+        spans = []
         for file in path.glob(f"Deal_Status={status}/*.parquet"):
             meta = pq.read_metadata(file)
             at = meta.schema.names.index(column)
-            for i in range(meta.num_row_groups):
-                stats = meta.row_group(i).column(at).statistics
-                if stats.has_min_max:
-                    out.append((stats.min, stats.max))
-        return out
-
-    for status, column in (("Won", "Close_Date"), ("Open", "Created_Date")):
-        found = spans(status, column)
-        middle = sorted(low for low, _ in found)[len(found) // 2]
-        week = [1 for low, high in found if low <= middle + dt.timedelta(days=6) and high >= middle]
-        assert len(found) >= 6 and len(week) <= 3
+            stats = [meta.row_group(i).column(at).statistics for i in range(meta.num_row_groups)]
+            dated = [s for s in stats if s.has_min_max]
+            spans.append((min(s.min for s in dated), max(s.max for s in dated)) if dated else None)
+        lows = sorted(span[0] for span in spans if span)
+        first = lows[len(lows) // 2]
+        last = first + dt.timedelta(days=6)
+        week = [1 for span in spans if span and span[0] <= last and span[1] >= first]
+        assert len(spans) > 25
+        return 1 - len(week) / len(spans)
+
+    # Activity dates are of one month only, so a week and its edges are half of them.
+    found = {
+        (s, c): skipped(s, c)
+        for s in ("Won", "Lost", "Open")
+        for c in ("Close_Date", "Created_Date", "Last_Activity_Date")
+        if (s, c) != ("Open", "Close_Date")
+    }
+    for (status, column), share in found.items():
+        least = {"Close_Date": 0.7, "Created_Date": 0.7, "Last_Activity_Date": 0.2}[column]
+        assert share >= least, (status, column, found)
+
+
+def test_interleaved_bits_follow_every_date(spark):
+    """A date's share of the order is its part; NULL comes first; all of them are told apart."""
+    days = [None, *(dt.date(2001, 1, 1) + dt.timedelta(days=37 * i) for i in range(12))]
+    rows_ = [(a, b, c) for a in days for b in days for c in days[::4]]
+    df = spark.createDataFrame(rows_, "Close_Date date, Created_Date date, Last_Activity_Date date")
+    cuts = date_cuts(df)
+    assert all(len(c) == 12 - 9 * (n == "Last_Activity_Date") for n, c in cuts.items())
+    got = df.withColumn("place", interleaved(cuts)).collect()
+    assert len({r.place for r in got}) == len(got) == len(rows_)
+
+    def part(place: int, k: int) -> int:
+        return sum((place >> (3 * bit + 2 - k) & 1) << bit for bit in range(8))
+
+    for k, column in enumerate(cuts):
+        parts = {r[column]: part(r.place, k) for r in got}
+        values = sorted((d for d in parts if d), key=lambda d: d)
+        assert [parts[d] for d in [None, *values]] == list(range(len(parts)))
+    assert date_cuts(df.where("false")) == {c: [] for c in cuts}
 
 
 def test_reports_are_written(spark, stored, tmp_path):
