@@ -21,12 +21,18 @@ CHUNK = 2 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """``buckets`` is halved until the matrix of all languages fits ``matrix_bytes``."""
+    """``buckets`` (a power of two) per language; a matrix of all languages with more than
+    ``matrix_bytes`` is an error, to be met with fewer buckets. A text is of no learned language
+    if the mean log probability of its n-grams is below that of the language by more than
+    ``slack`` and ``deviations`` times what chance allows for its length.
+    """
 
     buckets: int = 1 << 16
     orders: tuple[int, ...] = (1, 2, 3)
     smoothing: float = 0.5
     matrix_bytes: int = 256 << 20
+    slack: float = 2.0
+    deviations: float = 4.0
 
 
 @dataclass(frozen=True)
@@ -34,7 +40,12 @@ class Model:
     languages: tuple[str, ...]
     logs: np.ndarray  # languages x buckets, log probability of a bucket
     prior: np.ndarray
-    orders: tuple[int, ...]
+    settings: Settings
+    typical: np.ndarray  # languages x 2: mean and variance of a gram's log probability
+
+    @property
+    def orders(self) -> tuple[int, ...]:
+        return self.settings.orders
 
     @property
     def buckets(self) -> int:
@@ -116,8 +127,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", settings: Sett
     if not languages:
         return None
     buckets = settings.buckets
-    while buckets > 256 and buckets * len(languages) * 4 > settings.matrix_bytes:
-        buckets //= 2
+    if buckets * len(languages) * 4 > settings.matrix_bytes:
+        raise ValueError(
+            f"{len(languages)} languages with {buckets} buckets each do not fit matrix_bytes of "
+            f"{settings.matrix_bytes}; set fewer buckets or more bytes"
+        )
     place, orders = {name: i for i, name in enumerate(languages)}, settings.orders
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,27 +161,54 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", settings: Sett
         seen.sum(1, keepdims=True) + settings.smoothing * buckets
     )
     prior = np.log([sizes[x] for x in languages]) - np.log(sum(sizes.values()))
-    return Model(languages, logs.astype(np.float32), prior, orders)
+    share = seen / np.maximum(seen.sum(1, keepdims=True), 1)
+    mean = (share * logs).sum(1)
+    typical = np.stack([mean, (share * logs * logs).sum(1) - mean * mean], axis=1)
+    return Model(languages, logs.astype(np.float32), prior, settings, typical)
 
 
-def scored(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of each text; ``und`` and 0 without a letter."""
+def log_sums(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each text's n-grams in each language, and their number."""
     n = len(texts)
-    total, found = np.zeros((n, len(model.languages))), np.zeros(n, bool)
+    total, number = np.zeros((n, len(model.languages))), np.zeros(n, np.int64)
     for codes, owner in coded(texts):
         for at, row in grams(codes, owner, model.orders, model.buckets):
             if not len(row):
                 continue
             starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            found[row[starts]] = True
+            np.add.at(number, row[starts], np.diff(np.r_[starts, len(row)]))
             for k in range(len(model.languages)):
                 sums = np.add.reduceat(model.logs[k][at], starts, dtype=np.float64)
                 np.add.at(total[:, k], row[starts], sums)
-    total += model.prior
+    return total, number
+
+
+def scored(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
+    """Language and posterior probability of each text; ``und`` and 0 without a letter."""
+    sums, number = log_sums(texts, model)
+    total = sums + model.prior
+    best = total.argmax(1)
+    score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+    names = [model.languages[k] if n else UNKNOWN for k, n in zip(best, number, strict=True)]
+    return names, np.where(number > 0, score, 0.0)
+
+
+def learned(texts: list[str | None], model: Model, least: float) -> np.ndarray:
+    """Whether each text is in a learned language, with a posterior of ``least``.
+
+    The posterior alone tells learned languages apart, but not others from them. So the text's
+    n-grams must also be as probable, on average, as the language's own are. What chance allows
+    is told from the variance of a gram; as n-grams overlap, each character is one draw only.
+    """
+    sums, number = log_sums(texts, model)
+    total = sums + model.prior
     best = total.argmax(1)
     score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-    names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, found, strict=True)]
-    return names, np.where(found, score, 0.0)
+    mean, variance = model.typical[best].T
+    drawn = np.maximum(number / len(model.orders) / max(model.orders), 1)
+    allowed = model.settings.slack + model.settings.deviations * np.sqrt(variance / drawn)
+    own = sums[np.arange(len(texts)), best] / np.maximum(number, 1)
+    return (number > 0) & (score >= least) & (own >= mean - allowed)
 
 
 def _scores(batch: pa.RecordBatch, column: str, model: Model | None):
@@ -198,15 +239,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: dict
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is found with ``least`` probability."""
+    """The rows of ``docs``, unchanged, that are in a learned language, told with ``least``
+    probability; none without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text, CHUNK):
-                names, score = _scores(part, text, shared.value)
-                good = [n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)]
-                yield part.filter(pa.array(good, pa.bool_()))
+                texts = part.column(text).to_pylist()
+                good = learned(texts, shared.value, least) if shared.value else np.zeros(len(texts), bool)
+                yield part.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,6 +4,7 @@ from math import log
 from zlib import crc32
 
 import numpy as np
+import pytest
 from llmcases import awkward, documents, frame, texts
 
 from dealflow.llm import language_id as li
@@ -68,6 +69,37 @@ def test_naive_bayes_like_brute_force(spark):
         assert abs(score[0] - 1 / sum(np.exp(v - total[best]) for v in total.values())) < 1e-4
 
 
+def test_unlearned_languages_go(spark):
+    """Documents of the four learned languages stay; others and random letters go."""
+    docs = documents(spark)
+    model = li.fit(li.training_rows(docs))
+    rng = np.random.default_rng(3)
+    letters = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n))
+    odd = [
+        "Съешь ещё этих мягких французских булок, да выпей же чаю. " * 3,
+        "我能吞下玻璃而不伤身体。这是一个测试文本，用来检查语言。",
+        "これは日本語の文章です。テストのために書かれました。",
+        "η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί",
+        *[letters(n) for n in (40, 100, 400)],
+    ]
+    plain = {r.doc_id: r.text for r in docs.collect()}
+    both = frame(spark, [*plain.items(), *enumerate(odd, 10**6)])
+    left = {r.doc_id for r in li.accepted(both, model, 0.5).collect()}
+    assert left == {d for d, t in plain.items() if any(c.isalpha() for c in t or "")}
+    # The mean log probability, by hand.
+    sums, number = li.log_sums(["the house"], model)
+    grams = plain_grams("the house")
+    assert number[0] == sum(grams.values()) and (sums < 0).all()
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.range(20).selectExpr("id doc_id", "'text' text", "string(id) lang")
+    settings = li.Settings(buckets=1 << 10, matrix_bytes=20 << 12)
+    assert len(li.fit(docs, settings=settings).languages) == 20
+    with pytest.raises(ValueError, match="matrix_bytes"):
+        li.fit(docs, settings=li.Settings(buckets=1 << 10, matrix_bytes=(20 << 12) - 1))
+
+
 def test_awkward_rows(spark):
     model = li.fit(documents(spark))
     docs = frame(spark, awkward())
