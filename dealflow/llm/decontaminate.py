@@ -26,6 +26,8 @@ from dealflow.llm.common import chunks, columns, stored
 from dealflow.llm.shingles import prefix_sums, run_hashes, words
 
 CHUNK = 2 << 20
+#: Cosines of passages and items held at once.
+NEAR = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -249,7 +251,8 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings = Settings()) ->
 class Items:
     """Items of a block: ids, words, answers, and per passage size the places and vectors.
 
-    ``sorted`` has the different words of an item and its answer, ``member`` a bit per item and
+    ``sorted`` has the different words of an item and its answer, ``often`` how often the item has
+    each of them, ``member`` a bit per item and
     term of them. ``needs`` has the words that must be common, and how many of them rare ones. ``at`` and
     ``by_term`` list the items that hold each rare term. ``whole`` has a hash of all words of each
     item; ``begins`` has, per power of two, sorted hashes of the first so many words of the items
@@ -261,6 +264,7 @@ class Items:
     answers: list[list[int]]
     groups: dict[int, tuple[np.ndarray, np.ndarray]]
     sorted: list[np.ndarray]
+    often: list[np.ndarray]
     member: np.ndarray
     needs: np.ndarray
     at: np.ndarray
@@ -302,12 +306,16 @@ def prepared(rows: list[tuple[object, str, str | None]], space: Space, settings:
     at = np.searchsorted([t for t, _ in held], np.arange(settings.terms + 1))
     by_term = np.array([i for _, i in held], np.int64)
     known = [np.unique(np.array([*w, *a], np.uint64)) for w, a in zip(own, answers, strict=True)]
+    often = [
+        np.bincount(np.searchsorted(k, np.array(w, np.uint64)), minlength=len(k))
+        for k, w in zip(known, own, strict=True)
+    ]
     member = np.zeros((len(known), settings.terms), bool)
     for i, k in enumerate(known):
         member[i, term(k, settings)] = True
     member = np.packbits(member, axis=1, bitorder="little")
     needs = np.array(needs).reshape(-1, 2)
-    return Items(ids, own, answers, groups, known, member, needs, at, by_term, *run_index(own))
+    return Items(ids, own, answers, groups, known, often, member, needs, at, by_term, *run_index(own))
 
 
 def run_index(texts: list[list[int]]):
@@ -394,6 +402,39 @@ def enough_words(
     return out
 
 
+def candidates(
+    near: np.ndarray,
+    item: int,
+    first: np.ndarray,
+    size: int,
+    bound: float,
+    reach: int,
+    begin: np.ndarray,
+    end: np.ndarray,
+    hits: np.ndarray,
+    items: Items,
+) -> np.ndarray:
+    """Passages (places in ``first``) near to an item, with enough of its rare words around."""
+    at = np.flatnonzero(near >= bound)
+    need = items.needs[item, 1]
+    if not len(at) or need <= 0:
+        return at
+    low, high = np.searchsorted(hits, [item * len(begin), (item + 1) * len(begin)])
+    if high - low < need:
+        return at[:0]
+    before = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(np.bincount(hits[low:high] - item * len(begin), minlength=len(begin)), out=before[1:])
+    step = first[at]
+    left = np.maximum(step - reach, begin[step])
+    right = np.minimum(step + size + reach, end[step])
+    return at[before[right] - before[left] >= need]
+
+
+def rows_of(tried: list[np.ndarray]) -> np.ndarray:
+    """The row of each entry of a list of arrays."""
+    return np.repeat(np.arange(len(tried)), [len(t) for t in tried])
+
+
 def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     """(text, item, cosine, common words, first word) of each verified pair, the best passage."""
     hashes, counts = words(texts)
@@ -418,14 +459,18 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     margin = np.array([len(w) for w in items.words]) - sizes * 3 // 4
     least = settings.sizes[0] * settings.step
     reach = -(-np.maximum(margin, 1) // least) * settings.sizes[0]
+
     def shared_words(item: int, left: int, right: int) -> int:
         """Common words of the item and these of the text, 0 if they or the answer's are too few."""
         own, answer, known = items.words[item], items.answers[item], items.sorted[item]
         region = hashes[left:right]
         at_known = np.minimum(np.searchsorted(known, region), len(known) - 1)
-        region = region[known[at_known] == region].tolist()
-        if len(region) < items.needs[item, 0]:
+        inside = known[at_known] == region
+        # No subsequence has a word more often than both.
+        often = np.bincount(at_known[inside], minlength=len(known))
+        if np.minimum(often, items.often[item]).sum() < items.needs[item, 0]:
             return 0
+        region = region[inside].tolist()
         shared = common(own, region)
         if shared < items.needs[item, 0]:
             return 0
@@ -447,21 +492,20 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
         last = np.minimum(first + size, end[first])
         bound = settings.short_cosine if size == settings.sizes[0] else settings.cosine
         passages = unit((total[last] - total[first]).astype(np.float32))
-        for at in range(0, len(passages), 8192):
-            near = passages[at : at + 8192] @ vectors
-            p, j = np.nonzero(near >= bound)
-            cosine, step, item = np.minimum(near[p, j], 1), first[at + p], places[j]
-            # Too few rare words around rule a candidate out before its words are aligned.
-            low = np.maximum(step - reach[item], begin[step])
-            high = np.minimum(step + size + reach[item], end[step])
-            base = item * len(starts)
-            rare = np.searchsorted(hits, base + high) - np.searchsorted(hits, base + low)
-            good = rare >= items.needs[item, 1]
-            cosine, step, item = cosine[good], step[good], item[good]
+        own = max(1, NEAR // max(len(passages), 1))
+        for at in range(0, len(places), own):
+            near = vectors.T[at : at + own] @ passages.T
+            tried = [
+                candidates(row, i, first, size, bound, reach[i], begin, end, hits, items)
+                for row, i in zip(near, places[at : at + own].tolist(), strict=True)
+            ]
+            row, passage = rows_of(tried), np.concatenate(tried)
+            cosine, step, item = np.minimum(near[row, passage], 1), first[passage], places[at + row]
             which, around = text[step], reach[item] * settings.step
             begin_word = word_end[which] - counts[which]
             left = np.maximum(starts[step] - around, begin_word)
             right = np.minimum(starts[step] + size * settings.step + around, word_end[which])
+            # Too few words around rule a candidate out before they are aligned.
             for k in np.flatnonzero(enough_words(terms, item, left, right, items)).tolist():
                 pair, c = (int(which[k]), int(item[k])), float(cosine[k])
                 if c <= out.get(pair, (0.0,))[0]:

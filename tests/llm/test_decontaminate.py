@@ -159,7 +159,7 @@ def test_ids_of_any_type(spark):
     item = prose(30, 950)
     docs = frame(spark, [(1, f"{prose(40, 951)} {item}"), (2, prose(50, 952)), (None, item)])
     bench = spark.createDataFrame([(7, item), (8, prose(20, 953))], "item_id long, text string")
-    for kind, want in (("int", 7), ("string", "7"), ("decimal(10,0)", 7), ("long", 7)):
+    for kind, want in (("int", 7), ("string", "7"), ("decimal(10,0)", 7), ("bigint", 7)):
         typed = bench.selectExpr(f"cast(item_id as {kind}) item_id", "text", "'x' cosine", "1 at")
         got = dc.contaminated(docs.withColumn("doc_id", docs.doc_id.cast("string")), typed)
         assert dict(got.dtypes)["item_id"] == kind and dict(got.dtypes)["doc_id"] == "string"
