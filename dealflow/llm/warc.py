@@ -32,12 +32,14 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 class Settings:
     """An archive holds about ``archive_bytes`` of records, or one larger record. Its dictionary
     of ``dictionary_bytes`` is built from records spread over the archive, up to
-    ``training_bytes`` of them. Payloads below ``least_bytes`` are never revisits."""
+    ``training_bytes`` of them and ``sample_bytes`` of each; records themselves are compressed
+    whole. Payloads below ``least_bytes`` are never revisits."""
 
     date: str = "2024-01-01T00:00:00Z"
     archive_bytes: int = 24 << 20
     dictionary_bytes: int = 64 << 10
     training_bytes: int = 4 << 20
+    sample_bytes: int = 64 << 10
     least_bytes: int = 0
     level: int = 3
 
@@ -94,7 +96,7 @@ def record(page: dict, settings: Settings) -> bytes:
 def dictionary(records: list[bytes], settings: Settings) -> bytes:
     """A dictionary from records spread evenly over the list; empty if they are too few."""
     step = -(-sum(map(len, records)) // settings.training_bytes)
-    samples = [r[: 64 << 10] for r in records[:: max(1, step)]]
+    samples = [r[: settings.sample_bytes] for r in records[:: max(1, step)]]
     try:
         return zstandard.train_dictionary(
             settings.dictionary_bytes, samples, k=512, d=8, level=settings.level
