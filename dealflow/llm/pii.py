@@ -56,10 +56,16 @@ SYLLABLES = {
     "greek": "αλ βερ γιο δημ θεο καλ λαμ μαν νικ παπ ρου σταθ",
 }
 HEX = "0123456789abcdef"
+#: A phone number gets another digit for each so many draws that were taken.
+LONGER = 16
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _title = "|".join(sorted(map(regex.escape, TITLES), key=len, reverse=True))
 NAME = r"\p{Lu}[\p{L}'’-]+"
+#: What may stand between a form of address and the name.
+DEGREES = "Dr|Prof"
+#: Endings of surnames of women, which men have without the last letter.
+FEMININE = ("ова", "ева", "ёва", "ина", "ына")
 PATTERNS = {
     "email": regex.compile(r"[\p{L}\d._%+-]+@[\p{L}\d-]+(?:\.[\p{L}\d-]+)+"),
     "secret": regex.compile(
@@ -76,7 +82,9 @@ PATTERNS = {
         r"|(?:1[ .-])?\d{3}(?P<between>[ .-])\d{3}(?P=between)\d{4}"
         r"|0\d(?:[ .-]\d{2}){4})(?![\w-]|\.\d)"
     ),
-    "person": regex.compile(rf"(?<!\p{{L}})(?P<title>{_title})\.? (?P<value>{NAME}(?: {NAME}){{0,2}})"),
+    "person": regex.compile(
+        rf"(?<!\p{{L}})(?P<title>{_title})\.?(?: (?:{DEGREES})\.?)* (?P<value>{NAME}(?: {NAME}){{0,2}})"
+    ),
 }
 #: A text without any of these characters cannot hold the type.
 GUARDS: dict[str, Callable[[str], object]] = {
@@ -119,6 +127,11 @@ def luhn(digits: str) -> int:
     return sum(d - 9 if d > 9 else d for d in doubled) % 10
 
 
+def iban_rest(value: str) -> int:
+    """1 for a valid IBAN: its number modulo 97, letters being 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def parts_of(kind: str, match: regex.Match) -> list[Part]:
     text, start = match.group(), match.start()
     if kind == "email":
@@ -139,12 +152,20 @@ def parts_of(kind: str, match: regex.Match) -> list[Part]:
         for i, name in enumerate(names):
             last = i == len(names) - 1
             role = f"surname:{script(name)}" if last else f"given:{script(name)}:{gender}"
-            out.append(Part(at, at + len(name), role, name.lower()))
+            value = name.lower()
+            if last and value.endswith(FEMININE):
+                value = value[:-1]
+            out.append(Part(at, at + len(name), role, value))
             at += len(name) + 1
         return out
     digits = regex.sub(r"[^\p{L}\d]", "", text)
-    if kind == "phone" and not 8 <= len(digits) <= 15:
-        return []
+    if kind == "phone":
+        if not 8 <= len(digits) <= 15:
+            return []
+        code = regex.match(r"\+(\d{1,3})(?!\d)", text)
+        kind = f"phone:{len(code.group(1)) if code else 1}"
+    if kind == "iban":
+        kind = f"iban:{'valid' if iban_rest(digits) == 1 else 'plain'}"
     if kind == "ipv4":
         digits = ".".join(str(int(x)) for x in text.split("."))
     if kind == "card":
@@ -152,10 +173,30 @@ def parts_of(kind: str, match: regex.Match) -> list[Part]:
     return [Part(start, match.end(), kind, digits)]
 
 
+def mentions(text: str, known: dict[str, Part]) -> Iterator[list[Part]]:
+    """Known surnames in ``text``, with the known given names before them."""
+    of = {True: [], False: []}
+    for name, part in known.items():
+        of[part.kind.startswith("surname")].append(regex.escape(name))
+    given = f"(?:(?:{'|'.join(of[False])}) )*" if of[False] else ""
+    pattern = regex.compile(rf"(?<!\p{{L}}){given}(?:{'|'.join(of[True])})(?!\p{{L}})")
+    for match in pattern.finditer(text):
+        at, out = match.start(), []
+        for name in match.group().split(" "):
+            out.append(Part(at, at + len(name), known[name].kind, known[name].value))
+            at += len(name) + 1
+        yield out
+
+
 def detected(text: str) -> list[list[Part]]:
-    """Entities in order, as lists of parts; of overlapping ones that of the first type stays."""
+    """Entities in order, as lists of parts; of overlapping ones that of the first type stays.
+
+    A name that stands after a form of address is known in the whole text: its surname, alone or
+    after its given names, is an entity without one too.
+    """
     taken: list[tuple[int, int]] = []
     out = []
+    known: dict[str, Part] = {}
     digits = DIGIT(text)
     for kind, pattern in PATTERNS.items():
         if not (GUARDS[kind](text) if kind in GUARDS else digits):
@@ -165,6 +206,14 @@ def detected(text: str) -> list[list[Part]]:
             if parts and all(match.end() <= a or match.start() >= b for a, b in taken):
                 taken.append(match.span())
                 out.append(parts)
+                if kind == "person":
+                    for part in parts:
+                        for name in (text[part.start : part.end], text[part.start : part.end].upper()):
+                            known.setdefault(name, part)
+    if known:
+        for parts in mentions(text, known):
+            if all(parts[-1].end <= a or parts[0].start >= b for a, b in taken):
+                out.append(parts)
     return sorted(out, key=lambda x: x[0].start)
 
 
@@ -220,10 +269,17 @@ def surrogate(key: str, kind: str, value: str, attempt: int) -> str:
         if rest[1] == "luhn":
             return next(out[:-1] + str(d) for d in range(10) if luhn(out[:-1] + str(d)) == 0)
         return out
-    if role in ("phone", "ssn"):
-        return ("9" if role == "ssn" else value[0]) + "".join(str(draw.below(10)) for _ in value[1:])
+    if role == "ssn":
+        return "9" + "".join(str(draw.below(10)) for _ in value[1:])
+    if role == "phone":
+        code = int(rest[0])
+        more = attempt // LONGER
+        return value[:code] + "".join(str(draw.below(10)) for _ in range(len(value) - code + more))
     if role == "iban":
-        return value[:2] + alike(draw, value[2:], 0)
+        if rest[0] == "plain":
+            return value[:2] + alike(draw, value[2:], 0)
+        body = alike(draw, value[4:], 0)
+        return f"{value[:2]}{98 - iban_rest(f'{value[:2]}00{body}'):02d}{body}"
     return alike(draw, value, attempt // 4)
 
 
@@ -232,7 +288,9 @@ def shaped(plain: str, original: str, kind: str) -> str:
     role = kind.split(":")[0]
     if role in ("card", "ssn", "phone", "iban"):
         rest = iter(plain)
-        return "".join(next(rest) if c.isalnum() else c for c in original)
+        return "".join(next(rest) if c.isalnum() else c for c in original) + "".join(rest)
+    if role == "surname" and original.lower().endswith(FEMININE) and plain[-1] not in "аеёиоуыэюя":
+        plain += "а"
     if role in ("given", "surname", "mailbox", "domain"):
         if len(original) > 1 and original.isupper():
             return plain.upper()
@@ -314,8 +372,11 @@ def surrogated(docs: DataFrame, text: str = "text", settings: Settings = Setting
     """``docs`` with personal data replaced in ``text`` and, as last column, n_entities.
 
     Detected are e-mail addresses, values after words like password, IBANs, IPv4 addresses, card
-    and social security numbers, phone numbers, and names after a form of address. Gender is
-    that of the address, script that of the name. Null texts stay null with 0 entities; texts
+    and social security numbers, phone numbers, and names after a form of address, with later
+    mentions of their surnames in the same text. Gender is that of the address, script that of
+    the name (other scripts than Latin, Cyrillic and Greek get Latin names); surnames of women
+    keep their ending. Card numbers and IBANs stay valid, country codes stay. Where all numbers
+    of a length are taken, phone numbers get longer, as names do. Null texts stay null with 0 entities; texts
     without entities, and everything around an entity, stay as they are. Repeated rows get
     equal results. No rows in, no rows out.
     """
