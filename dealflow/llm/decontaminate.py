@@ -25,16 +25,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from dealflow.llm.common import chunks, columns, stored
 from dealflow.llm.shingles import prefix_sums, run_hashes, words
 
-CHUNK = 2 << 20
+#: Bytes of text handled at once; larger ones push what a task works on out of the caches.
+CHUNK = 1 << 18
 #: Cosines of passages and items held at once.
 NEAR = 1 << 22
+#: Rows added up at once.
+PIECE = 1 << 15
 
 
 @dataclass(frozen=True)
 class Settings:
     """``terms`` hashed words, ``rank`` directions from ``rank + extra`` random ones.
 
-    Documents are read in steps of ``step`` words and passages of 2, 4, 8 and 16 steps; an
+    Documents are read in steps of ``step`` words and passages of 2, 4, 8 and 16 steps (powers of two); an
     item is compared with passages of the longest such size that is not above its own. Terms in more than
     ``common`` of the different passages do not count as rare when candidates are ruled out. A
     candidate has at least ``cosine`` (``short_cosine`` for items of less than two of the smallest
@@ -73,25 +76,37 @@ def steps(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_sums(rows: np.ndarray, picks: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Sums of ``rows[picks[s:e]]`` for each start and end, by blocks of 8.
+    """Sums of ``rows[picks[s:e]]`` for each start and end, about ``PIECE`` rows at a time.
 
     The same as ``np.add.reduceat`` for segments that are not empty, but several times faster
     for rows of some width.
     """
+    out = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    done = np.cumsum(ends - starts)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PIECE)))
+        out[at:stop] = block_sums(rows, picks, starts[at:stop], ends[at:stop])
+        at = stop
+    return out
+
+
+def block_sums(rows: np.ndarray, picks: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """``segment_sums`` at once, by blocks of 8."""
     while True:
         blocks = -(-(ends - starts) // 8)
         last = np.cumsum(blocks)
         first = np.repeat(starts, blocks) + 8 * (np.arange(last[-1]) - np.repeat(last - blocks, blocks))
         stop = np.minimum(first + 8, np.repeat(ends, blocks))
-        out = rows[picks[first]]
+        out = rows.take(picks[first], axis=0)
         for i in range(1, 8):
             live = np.flatnonzero(first + i < stop)
             if not len(live):
                 break
             if len(live) == len(first):
-                out += rows[picks[first + i]]
+                out += rows.take(picks[first + i], axis=0)
             else:
-                out[live] += rows[picks[first[live] + i]]
+                out[live] += rows.take(picks[first[live] + i], axis=0)
         if len(out) == len(starts):
             return out
         rows, picks, starts, ends = out, np.arange(len(out)), last - blocks, last
@@ -407,35 +422,26 @@ def enough_words(
 
 def candidates(
     near: np.ndarray,
-    item: int,
+    places: np.ndarray,
     first: np.ndarray,
     size: int,
     bound: float,
-    reach: int,
+    reach: np.ndarray,
     begin: np.ndarray,
     end: np.ndarray,
     hits: np.ndarray,
     items: Items,
-) -> np.ndarray:
-    """Passages (places in ``first``) near to an item, with enough of its rare words around."""
-    at = np.flatnonzero(near >= bound)
-    need = items.needs[item, 1]
-    if not len(at) or need <= 0:
-        return at
-    low, high = np.searchsorted(hits, [item * len(begin), (item + 1) * len(begin)])
-    if high - low < need:
-        return at[:0]
-    before = np.zeros(len(begin) + 1, np.int32)
-    np.cumsum(np.bincount(hits[low:high] - item * len(begin), minlength=len(begin)), out=before[1:])
-    step = first[at]
-    left = np.maximum(step - reach, begin[step])
-    right = np.minimum(step + size + reach, end[step])
-    return at[before[right] - before[left] >= need]
-
-
-def rows_of(tried: list[np.ndarray]) -> np.ndarray:
-    """The row of each entry of a list of arrays."""
-    return np.repeat(np.arange(len(tried)), [len(t) for t in tried])
+) -> tuple[np.ndarray, np.ndarray]:
+    """Items (rows of ``near``) and passages (columns) near to each other, with enough of the
+    item's rare words around the passage."""
+    row, passage = np.nonzero(near >= bound)
+    item, step = places[row], first[passage]
+    left = np.maximum(step - reach[item], begin[step])
+    right = np.minimum(step + size + reach[item], end[step])
+    base = item * len(begin)
+    rare = np.searchsorted(hits, base + right) - np.searchsorted(hits, base + left)
+    enough = rare >= items.needs[item, 1]
+    return row[enough], passage[enough]
 
 
 def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
@@ -447,9 +453,6 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
     terms = term(hashes, settings)
     small = terms.astype(np.int32)
     sums = segment_sums(space.vectors, terms, starts, np.r_[starts[1:], len(terms)])
-    # A row per direction: sums along rows and picks from them are several times faster.
-    total = np.zeros((sums.shape[1], len(sums) + 1))
-    np.cumsum(np.ascontiguousarray(sums.T, np.float64), axis=1, out=total[:, 1:])
     text = np.repeat(np.arange(len(texts)), per_text)
     end = np.cumsum(per_text)[text]
     begin = end - per_text[text]
@@ -481,6 +484,17 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
             return 0
         return shared if common(answer, region) >= settings.share * len(answer) else 0
 
+    # A column per step, texts apart by as many empty ones as the longest passage has, each from a
+    # multiple of it on: passages of twice the size are sums of two, and a stride picks them.
+    longest = max(items.groups)
+    room = (-(-per_text // longest) + 1) * longest
+    left_edge = np.cumsum(room) - room
+    column = np.arange(len(starts)) + np.repeat(left_edge - np.cumsum(per_text) + per_text, per_text)
+    step_at = np.full(room.sum(), -1)
+    step_at[column] = np.arange(len(starts))
+    spread = np.zeros((sums.shape[1], len(step_at)), np.float32)
+    spread[:, column] = sums.T
+
     out = {}
     for t, i, first in verbatim(hashes, counts, items):
         if (t, i) not in out:
@@ -490,22 +504,25 @@ def found(texts: list[bytes], space: Space, items: Items, settings: Settings):
             if shared:
                 # The same words have the same vector.
                 out[t, i] = (1.0, shared, first - begin_word)
-    for size, (places, vectors) in items.groups.items():
+    reached = 1
+    for size, (places, vectors) in sorted(items.groups.items()):
+        while reached < size:
+            spread[:, :-reached] += spread[:, reached:]
+            reached *= 2
         # Every second half of a passage starts one; the last of a text are shorter.
-        first = np.arange(len(starts))
-        first = first[(first - begin) % max(1, size // 2) == 0]
-        last = np.minimum(first + size, end[first])
+        stride = max(1, size // 2)
+        first = step_at[::stride]
+        live = np.flatnonzero(first >= 0)
+        first = first[live]
+        passages = spread[:, ::stride].take(live, axis=1)
         bound = settings.short_cosine if size == settings.sizes[0] else settings.cosine
-        passages = (total[:, last] - total[:, first]).astype(np.float32)
         passages /= np.maximum(np.sqrt((passages * passages).sum(0)), 1e-12)
         own = max(1, NEAR // max(len(first), 1))
         for at in range(0, len(places), own):
             near = vectors.T[at : at + own] @ passages
-            tried = [
-                candidates(row, i, first, size, bound, reach[i], begin, end, hits, items)
-                for row, i in zip(near, places[at : at + own].tolist(), strict=True)
-            ]
-            row, passage = rows_of(tried), np.concatenate(tried)
+            row, passage = candidates(
+                near, places[at : at + own], first, size, bound, reach, begin, end, hits, items
+            )
             cosine, step, item = np.minimum(near[row, passage], 1), first[passage], places[at + row]
             which, around = text[step], reach[item] * settings.step
             begin_word = word_end[which] - counts[which]
