@@ -274,7 +274,8 @@ def components(
 
     ``component_id`` is the smallest doc_id that can be reached over links, ``kept`` whether it
     is the row's own. Texts without words (null, empty, blank) are linked with nothing. Rows
-    without doc_id are not compared: their component is null and they are kept. An id that
+    without doc_id are not compared: their component is null and they are kept. Ids are of any
+    type with an order. An id that
     stands in several rows is not a link by itself. No rows in, no rows out.
     """
     rows = columns(docs, doc_id=doc_id, text=text)
@@ -297,7 +298,7 @@ def components(
 
     # The most central class of a bucket is in the largest buckets; ties go to the smallest id.
     weighed = members.join(stored(weight, "weights"), "k")
-    center = F.max(F.struct("weight", (-F.col("rep.doc_id")).alias("id"), "k"))["k"]
+    center = F.min(F.struct((-F.col("weight")).alias("weight"), F.col("rep.doc_id").alias("id"), "k"))["k"]
     pivots = stored(
         weighed.groupBy("bucket").agg(center.alias("pivot"), F.count("*").alias("rows")), "pivots"
     )

@@ -52,6 +52,13 @@ def test_awkward_rows(spark):
     assert found(components(frame(spark, rows), settings=Settings(words=2))) == expected(rows, 2)
 
 
+def test_text_ids(spark):
+    base = prose(60, 2)
+    rows = [(f"id-{i}", f"{base} {prose(3, i)}") for i in range(12)] + [("z", prose(40, 99))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert found(components(docs, settings=Settings(words=2))) == expected(rows, 2)
+
+
 def test_large_group_with_outsiders(spark):
     """Copies around one text, some of which only reach it over others, in several blocks."""
     rng = np.random.default_rng(3)
